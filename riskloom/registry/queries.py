@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom import fixed
 from riskloom.functions.columns import significance_stars
 from riskloom.functions.pvalues import chi2_1dof_p
 from riskloom.operators import (
-    agreement, clean, coverage, flag_stats, paired, rank_stats, results, salary, scoring, splits,
+    agreement, balance, clean, coverage, features, flag_stats, models, paired, rank_stats,
+    results, salary, scoring, splits, text_features,
 )
 from riskloom.registry.views import Views
 
@@ -535,3 +537,276 @@ def disagreements(v: Views) -> DataFrame:
 @query
 def disagreement_counts(v: Views) -> DataFrame:
     return agreement.disagreement_counts(agreement.disagreements(_matched(v), ["sample_id"]))
+
+
+# --- text, number and category features ---------------------------------------
+
+def _tokens(v: Views) -> DataFrame:
+    text = clean.combined_text()
+    return v.postings().select(
+        fixed.KEY, text_features.words(text, STOP_WORDS).alias("tokens")
+    )
+
+
+@query
+def tokenize(v: Views) -> DataFrame:
+    return _tokens(v).select(
+        fixed.KEY,
+        F.array_join("tokens", " ").alias("tokens"),
+        F.size("tokens").cast("bigint").alias("n_tokens"),
+    )
+
+
+def _vocabulary(v: Views) -> tuple[DataFrame, DataFrame, int]:
+    tokens = _tokens(v)
+    counted = text_features.with_term_counts(tokens, "tokens")
+    n_docs = tokens.count()
+    return counted, text_features.vocabulary(counted, n_docs), n_docs
+
+
+@query
+def tfidf_vocab(v: Views) -> DataFrame:
+    _, vocab, _ = _vocabulary(v)
+    return vocab.select("term", "df", "tf", F.col("idx").cast("bigint").alias("idx"))
+
+
+@query
+def tfidf_sparse(v: Views) -> DataFrame:
+    counted, vocab, n_docs = _vocabulary(v)
+    weights = text_features.tfidf_terms(counted, fixed.KEY, vocab, n_docs)
+    return rounded(weights.select(fixed.KEY, "term", "weight"), "weight")
+
+
+@query
+def tfidf_svd(v: Views) -> DataFrame:
+    """Unit-length dense text vectors; each one's length and leading weight."""
+    postings, text = v.postings(), clean.combined_text()
+    model = text_features.fit_text(postings, text, "dense", STOP_WORDS, components=20)
+    dense = model.transform(postings, text).select(
+        fixed.KEY, vector_to_array("text_vec").alias("x")
+    )
+    squares = F.aggregate("x", F.lit(0.0), lambda total, x: total + x * x)
+    return dense.select(
+        fixed.KEY,
+        F.size("x").cast("bigint").alias("components"),
+        F.round(F.sqrt(squares), SIX).alias("length"),
+    )
+
+
+def _salaries(v: Views) -> DataFrame:
+    return salary.parse_salary(v.salary()).select(ORDER, *fixed.NUMBER_COLUMNS)
+
+
+@query
+def median_impute(v: Views) -> DataFrame:
+    return features.median_impute(_salaries(v), fixed.NUMBER_COLUMNS)
+
+
+@query
+def standardize(v: Views) -> DataFrame:
+    return rounded(features.standardize(_salaries(v), fixed.NUMBER_COLUMNS), *fixed.NUMBER_COLUMNS)
+
+
+@query
+def mode_impute(v: Views) -> DataFrame:
+    parsed = salary.parse_salary(v.postings())
+    return features.mode_impute(parsed, fixed.BOOLEAN_COLUMNS).select(
+        fixed.KEY, *fixed.BOOLEAN_COLUMNS
+    )
+
+
+def _categories(v: Views) -> tuple[DataFrame, features.CategoryModel]:
+    postings = v.postings().select(fixed.KEY, *fixed.CATEGORY_COLUMNS)
+    return postings, features.fit_categories(postings, fixed.KEY)
+
+
+@query
+def detect_multilabel(v: Views) -> DataFrame:
+    return features.detect_multilabel(v.postings(), fixed.KEY, fixed.CATEGORY_COLUMNS)
+
+
+@query
+def learn_categories(v: Views) -> DataFrame:
+    postings = features.normalized_categories(v.postings(), fixed.CATEGORY_COLUMNS)
+    found = features.detect_multilabel(postings, fixed.KEY, fixed.CATEGORY_COLUMNS).collect()
+    multilabel = {r["col"] for r in found if r["is_multilabel"]}
+    return features.learn_categories(postings, fixed.CATEGORY_COLUMNS, multilabel)
+
+
+def _bucket_rows(v: Views, multilabel: bool) -> DataFrame:
+    postings, model = _categories(v)
+    postings = features.normalized_categories(postings, model.columns)
+    columns = [c for c in model.columns if (c in model.multilabel) == multilabel]
+    return postings.select(
+        fixed.KEY, *[F.array_join(model.buckets(c), "|").alias(c) for c in columns]
+    )
+
+
+@query
+def bucket_single(v: Views) -> DataFrame:
+    return _bucket_rows(v, multilabel=False)
+
+
+@query
+def bucket_multi(v: Views) -> DataFrame:
+    return _bucket_rows(v, multilabel=True)
+
+
+@query
+def onehot_topk(v: Views) -> DataFrame:
+    postings, model = _categories(v)
+    return features.onehot_terms(postings, fixed.KEY, model)
+
+
+def _modelling_rows(v: Views) -> DataFrame:
+    """The labelled records with their salary columns."""
+    parsed = salary.fill_mean(salary.parse_salary(v.postings()))
+    return parsed.where(F.col(fixed.LABEL).isNotNull())
+
+
+@query
+def feature_block_sizes(v: Views) -> DataFrame:
+    model = features.prepare_train(
+        _modelling_rows(v), fixed.KEY, "sparse", "std", stop_words=STOP_WORDS
+    )
+    sizes = list(model.block_sizes().items())
+    return v.spark.createDataFrame(sizes, "block string, size bigint")
+
+
+@query
+def feature_vectors(v: Views) -> DataFrame:
+    """The assembled matrix: set entries and their sum per record."""
+    rows = _modelling_rows(v)
+    model = features.prepare_train(rows, fixed.KEY, "sparse", "std", stop_words=STOP_WORDS)
+    values = vector_to_array(F.col("features"))
+    return features.prepare_test(rows, model).select(
+        fixed.KEY,
+        F.size(values).cast("bigint").alias("width"),
+        F.round(F.aggregate(values, F.lit(0.0), lambda total, x: total + x), 4).alias("total"),
+    )
+
+
+@query
+def embedding_features(v: Views) -> DataFrame:
+    """Cached vectors joined to records by key."""
+    records = v.postings().select(F.col(fixed.KEY).alias("vec_id"), "department")
+    joined = features.embedding_features(records, v.vectors(), "vec_id")
+    values = vector_to_array(F.col("text_vec"))
+    return joined.select(
+        "vec_id", "department",
+        F.size(values).cast("bigint").alias("width"),
+        F.round(F.aggregate(values, F.lit(0.0), lambda total, x: total + x * x), SIX).alias("square"),
+    )
+
+
+@query
+def feature_groups(v: Views) -> DataFrame:
+    """The usable feature groups with the filled values of each column."""
+    rows = salary.parse_salary(v.postings())
+    usable = models.group_columns(rows)
+    columns = sorted({c for names in usable.values() for c in names})
+    held = rows.agg(*[F.count(c).alias(c) for c in columns]).unpivot([], columns, "col", "filled")
+    listed = v.spark.createDataFrame(
+        [(g, i, c) for g, names in usable.items() for i, c in enumerate(names)],
+        "grp string, place int, col string",
+    )
+    return listed.join(F.broadcast(held), "col").select("grp", "place", "col", "filled")
+
+
+# --- balancing and models -----------------------------------------------------
+
+def _minority(v: Views) -> DataFrame:
+    return v.vectors().where("label = 1")
+
+
+@query
+def smote_neighbors(v: Views) -> DataFrame:
+    return rounded(balance.nearest_neighbors(_minority(v), "vec_id", "embedding"), "distance")
+
+
+@query
+def nearest_neighbors(v: Views) -> DataFrame:
+    """Neighbours among all vectors, with blocks small enough to travel."""
+    near = balance.nearest_neighbors(v.vectors(), "vec_id", "embedding", block_rows=200)
+    return rounded(near, "distance")
+
+
+@query
+def smote(v: Views) -> DataFrame:
+    vectors = v.vectors()
+    sizes = {r["label"]: r["count"] for r in vectors.groupBy("label").count().collect()}
+    pairs = balance.synthetic_pairs(
+        _minority(v), "vec_id", "embedding", sizes[0] - sizes[1], seed=3
+    )
+    return rounded(pairs, "u", digits=12)
+
+
+@query
+def smote_rows(v: Views) -> DataFrame:
+    """The balanced table, summed up by class and origin."""
+    rows = balance.smote(v.vectors(), "vec_id", "label", "embedding", seed=3)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return rows.groupBy("label", "is_synthetic").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(total), 4).alias("total")
+    )
+
+
+def _fit_vectors(v: Views, learner, **options) -> DataFrame:
+    """Split, over-sample, fit and measure one learner on all vectors."""
+    rows = v.vectors().select(
+        "vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    )
+    marked = splits.stratified_split(rows, "vec_id", "label", 0.2, seed=1)
+    model = models.fit_balanced(
+        marked.where(~F.col("is_test")), "vec_id", "label", learner, seed=1, **options
+    )
+    measured = models.model_metrics(models.scored(model, marked.where("is_test"), "vec_id", "label"))
+    return v.spark.createDataFrame(
+        [(m, float(x)) for m, x in measured.items()], "metric string, value double"
+    )
+
+
+@query
+def model_lr(v: Views) -> DataFrame:
+    return _fit_vectors(v, models.lr)
+
+
+@query
+def model_enlr(v: Views) -> DataFrame:
+    return _fit_vectors(v, models.enlr)
+
+
+@query
+def model_rf(v: Views) -> DataFrame:
+    return _fit_vectors(v, models.rf)
+
+
+@query
+def model_gbt(v: Views) -> DataFrame:
+    return _fit_vectors(v, models.gbt)
+
+
+@query
+def model_mlp(v: Views) -> DataFrame:
+    return _fit_vectors(v, models.mlp)
+
+
+@query
+def model_embedding_mlp(v: Views) -> DataFrame:
+    """Embeddings in place of text, beside numbers, booleans and categories."""
+    rows = _modelling_rows(v).join(
+        v.vectors().select(F.col("vec_id").alias(fixed.KEY)), fixed.KEY, "left_semi"
+    )
+    vectors = v.vectors().select(F.col("vec_id").alias(fixed.KEY), "embedding")
+    return models.evaluate_grid(
+        rows, fixed.KEY, fixed.LABEL, [1], ["bert_mlp"],
+        {"base": fixed.FEATURE_GROUPS["base"]}, embeddings=vectors,
+    )
+
+
+@query
+def evaluate_grid(v: Views) -> DataFrame:
+    """Two seeds, one learner, the groups whose columns exist."""
+    return models.evaluate_grid(
+        _modelling_rows(v), fixed.KEY, fixed.LABEL, [1, 2], ["lr"],
+    )

@@ -638,3 +638,173 @@ ORACLE["disagreements"] = with_views("review", f"WITH {_MATCHED} SELECT * FROM d
 ORACLE["disagreement_counts"] = with_views(
     "review", f"WITH {_MATCHED} SELECT type, count(*) AS records FROM df GROUP BY 1"
 )
+
+# --- text, number and category features ---------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_WORDS = (
+    f"list_filter(regexp_extract_all(lower({_TEXT}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP}))"
+)
+
+
+def _tokens(source: str) -> str:
+    return f"tk AS MATERIALIZED (SELECT job_id, {_WORDS} AS ws FROM {source})"
+
+
+def _vocab(source: str) -> str:
+    return _tokens(source) + f""",
+    occ AS MATERIALIZED (SELECT job_id, term, count(*) AS tf FROM (SELECT job_id, unnest(ws) AS term FROM tk) GROUP BY 1, 2),
+    freq AS (SELECT term, count(*) AS df, sum(tf) AS tf FROM occ GROUP BY term),
+    nd AS MATERIALIZED (SELECT count(*) AS n FROM {source}),
+    top AS (SELECT *, row_number() OVER (ORDER BY tf DESC, term) AS place FROM freq WHERE df >= 5 AND df <= 0.9 * (SELECT n FROM nd)),
+    vocab AS MATERIALIZED (SELECT term, df, CAST(tf AS BIGINT) AS tf, row_number() OVER (ORDER BY term) - 1 AS idx FROM top WHERE place <= 5000),
+    wt AS MATERIALIZED (SELECT job_id, term, occ.tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM occ JOIN vocab USING (term), nd),
+    tfidf AS MATERIALIZED (SELECT job_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY job_id)) AS weight FROM wt)"""
+
+
+ORACLE["tokenize"] = with_views(
+    "postings",
+    f"WITH {_tokens('postings')} SELECT job_id, array_to_string(ws, ' ') AS tokens, CAST(len(ws) AS BIGINT) AS n_tokens FROM tk",
+)
+ORACLE["tfidf_vocab"] = with_views("postings", f"WITH {_vocab('postings')} SELECT term, df, tf, idx FROM vocab")
+ORACLE["tfidf_sparse"] = with_views(
+    "postings", f"WITH {_vocab('postings')} SELECT job_id, term, round(weight, 6) AS weight FROM tfidf"
+)
+# Every dense vector has unit length unless the record has no vocabulary word.
+ORACLE["tfidf_svd"] = with_views(
+    "postings",
+    f"""WITH {_vocab('postings')} SELECT p.job_id, CAST(20 AS BIGINT) AS components,
+    CASE WHEN count(t.term) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS length
+    FROM postings p LEFT JOIN tfidf t ON p.job_id = t.job_id GROUP BY p.job_id""",
+)
+_IMPUTED = ", ".join(f"COALESCE({c}, median({c}) OVER ()) AS {c}" for c in fixed.NUMBER_COLUMNS)
+ORACLE["median_impute"] = with_views(
+    "salary", f"WITH {_SALARY} SELECT o_orderkey, {_IMPUTED} FROM parsed"
+)
+ORACLE["standardize"] = with_views(
+    "salary",
+    f"WITH {_SALARY}, im AS (SELECT o_orderkey, {_IMPUTED} FROM parsed) SELECT o_orderkey, "
+    + ", ".join(
+        f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in fixed.NUMBER_COLUMNS
+    )
+    + " FROM im",
+)
+
+
+def _mode(c: str) -> str:
+    return f"(SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM b WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)"
+
+
+_BOOL = "b AS MATERIALIZED (SELECT *, CASE WHEN salary_range IS NULL THEN 1 ELSE 0 END AS salary_range_missing FROM {source})"
+ORACLE["mode_impute"] = with_views(
+    "postings",
+    f"WITH {_BOOL.format(source='postings')} SELECT job_id, "
+    + ", ".join(f"COALESCE({c}, {_mode(c)}) AS {c}" for c in fixed.BOOLEAN_COLUMNS)
+    + " FROM b",
+)
+
+
+def _categories(source: str) -> str:
+    """`learned`: kept tokens; `bucketed`: (job_id, col, multi, tokens)."""
+    edu = f"CASE required_education {_EDU} ELSE required_education END"
+    long = union(
+        f"SELECT job_id, '{c}' AS col, CAST({edu if c == 'required_education' else c} AS VARCHAR) AS v FROM {source}"
+        for c in fixed.CATEGORY_COLUMNS
+    )
+    return f"""cl AS MATERIALIZED ({long}),
+    firsts AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY job_id) AS r FROM cl WHERE v IS NOT NULL),
+    kind AS MATERIALIZED (SELECT col, COALESCE(bool_or(contains(f.v, ',')) FILTER (r <= 100), false) AS multi FROM (SELECT DISTINCT col FROM cl) LEFT JOIN firsts f USING (col) GROUP BY col),
+    tok AS MATERIALIZED (SELECT job_id, col, multi, CASE WHEN multi THEN {label_list('v')} ELSE [COALESCE(v, '{fixed.MISSING}')] END AS ts FROM cl JOIN kind USING (col)),
+    freqs AS (SELECT col, token, any_value(multi) AS multi, count(*) AS n FROM (SELECT col, multi, unnest(ts) AS token FROM tok) GROUP BY 1, 2),
+    ranked_tokens AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, token) AS r FROM freqs WHERE NOT multi OR n >= 2),
+    learned AS MATERIALIZED (SELECT col, token FROM ranked_tokens WHERE r <= 10 UNION SELECT col, '{fixed.MISSING}' FROM kind),
+    kept AS MATERIALIZED (SELECT col, list(token) AS ks FROM learned GROUP BY col),
+    bucketed AS MATERIALIZED (SELECT job_id, col, multi, CASE WHEN multi
+        THEN CASE WHEN len(list_filter(ts, lambda t: list_contains(ks, t))) = 0 THEN ['{fixed.MISSING}'] ELSE list_filter(ts, lambda t: list_contains(ks, t)) END
+        ELSE list_transform(ts, lambda t: CASE WHEN list_contains(ks, t) THEN t ELSE '{fixed.OTHER}' END) END AS ts FROM tok JOIN kept USING (col)),
+    onehot AS MATERIALIZED (SELECT DISTINCT job_id, col, unnest(ts) AS token FROM bucketed)"""
+
+
+_CATS = _categories("postings")
+ORACLE["detect_multilabel"] = with_views(
+    "postings",
+    f"WITH {_CATS.replace('CASE required_education ' + _EDU + ' ELSE required_education END', 'required_education')} SELECT col, multi AS is_multilabel FROM kind",
+)
+ORACLE["learn_categories"] = with_views("postings", f"WITH {_CATS} SELECT col, token FROM learned")
+ORACLE["onehot_topk"] = with_views("postings", f"WITH {_CATS} SELECT job_id, col, token FROM onehot")
+_SINGLE_COLUMNS = [c for c in fixed.CATEGORY_COLUMNS if c != "industry"]
+for _name, _columns in (("bucket_single", _SINGLE_COLUMNS), ("bucket_multi", ["industry"])):
+    ORACLE[_name] = with_views(
+        "postings",
+        f"WITH {_CATS} SELECT job_id, "
+        + ", ".join(f"max(array_to_string(ts, '|')) FILTER (col = '{c}') AS {c}" for c in _columns)
+        + " FROM bucketed GROUP BY job_id",
+    )
+
+_LABELLED = f"lab AS MATERIALIZED (SELECT * FROM postings WHERE {_Y} IS NOT NULL)"
+_MODEL_CTES = f"{_LABELLED}, {_vocab('lab')}, {_categories('lab')}"
+ORACLE["feature_block_sizes"] = with_views(
+    "postings",
+    f"""WITH {_MODEL_CTES} SELECT 'text' AS block, count(*) AS size FROM vocab UNION ALL SELECT 'numbers', 2
+    UNION ALL SELECT 'booleans', 4 UNION ALL SELECT 'categories', count(*) FROM (SELECT DISTINCT col, token FROM onehot)""",
+)
+# Salaries come from the posting's own column, filled over all postings.
+_POSTING_SALARY = _SALARY.replace("o_orderkey", "job_id").replace("FROM salary", "FROM postings")
+ORACLE["feature_vectors"] = with_views(
+    "postings",
+    f"""WITH {_POSTING_SALARY}, sf AS (SELECT job_id, COALESCE(salary_lower, avg(salary_lower) OVER ()) AS lo, COALESCE(salary_upper, avg(salary_upper) OVER ()) AS up FROM parsed),
+    {_MODEL_CTES}, {_BOOL.format(source='lab')},
+    num AS (SELECT job_id, (lo - avg(lo) OVER ()) / stddev_pop(lo) OVER () + (up - avg(up) OVER ()) / stddev_pop(up) OVER () AS s FROM sf WHERE job_id IN (SELECT job_id FROM lab)),
+    bo AS (SELECT job_id, {' + '.join(f'COALESCE({c}, {_mode(c)})' for c in fixed.BOOLEAN_COLUMNS)} AS s FROM b),
+    width AS (SELECT (SELECT count(*) FROM vocab) + 2 + 4 + (SELECT count(*) FROM (SELECT DISTINCT col, token FROM onehot)) AS w)
+    SELECT lab.job_id, (SELECT w FROM width) AS width,
+      round(COALESCE((SELECT sum(weight) FROM tfidf t WHERE t.job_id = lab.job_id), 0) + num.s + bo.s + (SELECT count(*) FROM onehot o WHERE o.job_id = lab.job_id), 4) AS total
+    FROM lab JOIN num USING (job_id) JOIN bo USING (job_id)""",
+)
+ORACLE["embedding_features"] = """
+SELECT vec_id, d.source AS department, CAST(len(embedding) AS BIGINT) AS width,
+  round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS square
+FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id"""
+_PRESENT = ["salary_lower", "salary_upper", "single_pass_risk_score", "risk_score_all"]
+ORACLE["feature_groups"] = with_views(
+    "postings",
+    f"""WITH {_POSTING_SALARY} """
+    + union(
+        f"SELECT '{g}' AS grp, {i} AS place, '{c}' AS col, count({c}) AS filled FROM "
+        + ("parsed" if c in fixed.NUMBER_COLUMNS else "postings")
+        for g, cols in fixed.FEATURE_GROUPS.items() if set(cols) <= set(_PRESENT)
+        for i, c in enumerate(cols)
+    ),
+)
+
+# --- balancing ----------------------------------------------------------------
+
+
+def _neighbors(where: str) -> str:
+    return f"""vx AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {where}),
+    nb AS MATERIALIZED (SELECT vec_id, rank, neighbor, distance FROM (
+      SELECT a.vec_id, b.vec_id AS neighbor, list_distance(a.e, b.e) AS distance,
+        CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS INT) AS rank
+      FROM vx a JOIN vx b ON a.vec_id <> b.vec_id) WHERE rank <= 5)"""
+
+
+ORACLE["smote_neighbors"] = (
+    f"WITH {_neighbors('label = 0')} SELECT vec_id, rank, neighbor, round(distance, 6) AS distance FROM nb"
+)
+ORACLE["nearest_neighbors"] = (
+    f"WITH {_neighbors('true')} SELECT vec_id, rank, neighbor, round(distance, 6) AS distance FROM nb"
+)
+_SMOTE = f"""{_neighbors('label = 0')},
+size AS MATERIALIZED (SELECT count(*) FILTER (label = 0) AS m, count(*) FILTER (label <> 0) AS big FROM embeddings),
+syn AS (SELECT i AS synthetic_id, md5(CAST(i AS VARCHAR) || ':3') AS d FROM range(0, (SELECT big - m FROM size)) r(i)),
+drawn AS (SELECT synthetic_id, CAST('0x' || substr(d, 1, 13) AS BIGINT) % (SELECT m * 5 FROM size) AS pick,
+  CAST('0x' || substr(d, 14, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM syn),
+place AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM vx),
+pairs AS MATERIALIZED (SELECT synthetic_id, place.vec_id AS base, neighbor, u FROM drawn JOIN place ON pos = pick // 5
+  JOIN nb ON nb.vec_id = place.vec_id AND nb.rank = pick % 5 + 1)"""
+ORACLE["smote"] = f"WITH {_SMOTE} SELECT synthetic_id, base, neighbor, round(u, 12) AS u FROM pairs"
+ORACLE["smote_rows"] = f"""WITH {_SMOTE}
+SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, false AS is_synthetic, count(*) AS n,
+  round(sum(list_sum(CAST(embedding AS DOUBLE[]))), 4) AS total FROM embeddings GROUP BY 1
+UNION ALL SELECT 1, true, count(*), round(sum(list_sum(x.e) + u * (list_sum(y.e) - list_sum(x.e))), 4)
+FROM pairs JOIN vx x ON x.vec_id = base JOIN vx y ON y.vec_id = neighbor"""

@@ -806,7 +806,8 @@ def model_embedding_mlp(v: Views) -> DataFrame:
 
 @query
 def evaluate_grid(v: Views) -> DataFrame:
-    """Two seeds, one learner, the groups whose columns exist."""
+    """Two seeds, one learner, two feature groups."""
+    groups = {g: fixed.FEATURE_GROUPS[g] for g in ("base", "single_pass")}
     return models.evaluate_grid(
-        _modelling_rows(v), fixed.KEY, fixed.LABEL, [1, 2], ["lr"],
+        _modelling_rows(v), fixed.KEY, fixed.LABEL, [1, 2], ["lr"], groups
     )

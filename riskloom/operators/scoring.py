@@ -27,7 +27,7 @@ def agent_flags(spark: SparkSession) -> DataFrame:
 
 
 def combo_flags(spark: SparkSession) -> DataFrame:
-    """Dimension of (combo, agent, flag_id, flag): 18 fixed rows."""
+    """Dimension of (combo, agent, flag_id, flag): 24 fixed rows."""
     rows = [(combo, agent) for combo, agents in fixed.COMBO_AGENTS.items() for agent in agents]
     combos = spark.createDataFrame(rows, "combo string, agent string")
     return combos.join(F.broadcast(agent_flags(spark)), "agent").select(

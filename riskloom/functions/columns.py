@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskloom.fixed import WHITESPACE
 
@@ -16,10 +16,30 @@ def strip(c: Column) -> Column:
 
 def number_or_null(c: Column) -> Column:
     """Text or number to double; anything unreadable, and NaN, becomes null."""
-    text = strip(c.cast("string"))
-    # Java reads "1d" and "1f" as numbers; they are not.
-    value = F.when(~text.rlike("[0-9.][dDfF]$"), text).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return real_or_null(number_text(c).try_cast("double"))
+
+
+def number_text(c: Column) -> Column:
+    """Text of a number; null where only Java would read one ("1d", "1f")."""
+    text = c.cast("string")
+    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text)
+
+
+def real_or_null(c: Column) -> Column:
+    return F.when(~F.isnan(c), c)
+
+
+def with_numbers(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add {new: old} columns read as numbers, each computed once.
+
+    Text is parsed in one projection and tested for NaN in the next, so later
+    uses of the column do not parse it again; numeric columns are only cast.
+    """
+    staged = {}
+    for new, old in columns.items():
+        text = isinstance(df.schema[old].dataType, T.StringType)
+        staged[new] = (number_text(F.col(old)) if text else F.col(old)).try_cast("double")
+    return df.withColumns(staged).withColumns({new: real_or_null(F.col(new)) for new in columns})
 
 
 def flag_or_zero(c: Column) -> Column:

@@ -5,24 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom import fixed
-from riskloom.functions.columns import number_or_null, ratio
+from riskloom.functions.columns import ratio, with_numbers
+
+
+def _numbered(review: DataFrame, key: str) -> DataFrame:
+    """The review with its id as a whole number, null where it is none."""
+    number = F.col("_number")
+    return (
+        with_numbers(review, {"_number": key})
+        .withColumn(key, F.when(number == F.floor(number), number).try_cast("bigint"))
+        .drop("_number")
+    )
 
 
 def valid_sample_rows(review: DataFrame, reference: DataFrame, key: str = "sample_id") -> DataFrame:
     """Review rows whose numeric id is in the reference; drops totals rows."""
-    number = number_or_null(F.col(key))
-    whole = F.when(number == F.floor(number), number).try_cast("bigint")
     ids = reference.select(F.col(key).cast("bigint").alias(key))
-    return review.withColumn(key, whole).join(ids, key, "left_semi")
+    return _numbered(review, key).join(ids, key, "left_semi")
 
 
 def match_labels(
     review: DataFrame, reference: DataFrame, key: str = "sample_id",
     flags: list[str] = fixed.FLAGS, prefix: str = "manual_",
 ) -> DataFrame:
-    """Reference rows with the human flags of the same sample beside them."""
+    """Reference rows with the human flags of the same sample beside them.
+
+    The inner join by itself leaves out review rows that are no sample rows.
+    """
     human = [prefix + f for f in flags if prefix + f in review.columns]
-    rows = valid_sample_rows(review, reference, key).select(key, *human)
+    rows = _numbered(review, key).select(key, *human)
     return reference.withColumn(key, F.col(key).cast("bigint")).join(rows, key)
 
 
@@ -30,9 +41,16 @@ def _compared(matched: DataFrame, flags, prefix) -> list[str]:
     return [f for f in flags if f in matched.columns and prefix + f in matched.columns]
 
 
+def _read(matched: DataFrame, names: list[str], prefix: str) -> DataFrame:
+    """Both sides' flags as numbers, parsed once."""
+    return with_numbers(
+        matched, {**{f: f for f in names}, **{prefix + f: prefix + f for f in names}}
+    )
+
+
 def _sides(flag: str, prefix: str) -> tuple[Column, Column, Column]:
     """(machine flag, human flag, both usable)."""
-    ai, human = number_or_null(F.col(flag)), number_or_null(F.col(prefix + flag))
+    ai, human = F.col(flag), F.col(prefix + flag)
     return ai, human, ai.isin(0.0, 1.0) & human.isin(0.0, 1.0)
 
 
@@ -52,7 +70,7 @@ def confusion_by_flag(
                 *[F.col(f"{f}__{n}").alias(n) for n in ("tp", "tn", "fp", "fn")],
             )
         )
-    counts = matched.agg(*sums).select(F.inline(F.array(*rows)))
+    counts = _read(matched, names, prefix).agg(*sums).select(F.inline(F.array(*rows)))
     return cohens_kappa(
         counts.withColumns({
             "n_compared": F.expr("tp + tn + fp + fn"),
@@ -84,8 +102,8 @@ def disagreements(
     matched: DataFrame, ids: list[str], flags: list[str] = fixed.FLAGS, prefix: str = "manual_"
 ) -> DataFrame:
     """One row per sample and flag on which the two sides differ."""
-    rows = []
-    for f in _compared(matched, flags, prefix):
+    names, rows = _compared(matched, flags, prefix), []
+    for f in names:
         ai, human, ok = _sides(f, prefix)
         rows.append(
             F.struct(
@@ -96,8 +114,9 @@ def disagreements(
             )
         )
     return (
-        matched.select(*ids, F.inline(F.filter(F.array(*rows), lambda r: r["_differs"])))
-        .drop("_differs")
+        _read(matched, names, prefix)
+        .select(*ids, F.inline(F.array(*rows)))
+        .where("_differs").drop("_differs")
         .withColumn(
             "type",
             F.when(F.col("ai_label") == 1, fixed.FALSE_POSITIVE).otherwise(fixed.FALSE_NEGATIVE),

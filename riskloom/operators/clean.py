@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom import fixed
-from riskloom.functions.columns import flag_or_zero, number_or_null, strip
+from riskloom.functions.columns import flag_or_zero, strip, with_numbers
 
 
 def normalize_target(df: DataFrame, label: str = fixed.LABEL) -> DataFrame:
@@ -23,7 +23,7 @@ def coerce_flags(df: DataFrame, flags: list[str] = fixed.FLAGS) -> DataFrame:
 
 
 def coerce_scores(df: DataFrame, scores: list[str] = fixed.SCORES) -> DataFrame:
-    return df.withColumns({c: number_or_null(F.col(c)) for c in scores if c in df.columns})
+    return with_numbers(df, {c: c for c in scores if c in df.columns})
 
 
 def ensure_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:

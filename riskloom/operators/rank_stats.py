@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom import fixed
-from riskloom.functions.columns import number_or_null, ratio
+from riskloom.functions.columns import ratio, score_0_10, with_numbers
 from riskloom.functions.pvalues import normal_upper_p, student_two_sided_p
 from riskloom.operators.ordering import running_totals, split_points
 
@@ -19,13 +19,11 @@ from riskloom.operators.ordering import running_totals, split_points
 def long_scores(df: DataFrame, scores: list[str], label: str) -> DataFrame:
     """(score, value, label) rows of the readable scores."""
     present = [s for s in scores if s in df.columns]
+    numbers = with_numbers(df.select(label, *present), {s: s for s in present})
     pairs = F.array(
-        *[
-            F.struct(F.lit(s).alias("score"), number_or_null(F.col(s)).alias("value"))
-            for s in present
-        ]
+        *[F.struct(F.lit(s).alias("score"), F.col(s).alias("value")) for s in present]
     )
-    return df.select(F.inline(pairs), F.col(label).cast("int").alias("label")).where(
+    return numbers.select(F.inline(pairs), F.col(label).cast("int").alias("label")).where(
         F.col("value").isNotNull()
     )
 
@@ -52,7 +50,10 @@ def rank_sums(
     continuous: bool = False,
 ) -> DataFrame:
     """Per score: class sizes, U of the positives (ties count half), tie term."""
-    counts = class_counts(df, scores, label)
+    return _rank_sums(class_counts(df, scores, label), continuous)
+
+
+def _rank_sums(counts: DataFrame, continuous: bool) -> DataFrame:
     ranked = running_totals(
         counts, "value", ["neg"], ["score"], _points(counts, "value", continuous)
     )
@@ -82,14 +83,16 @@ def auroc(df, scores=fixed.SCORES, label=fixed.LABEL, continuous=False) -> DataF
 def mann_whitney(df, scores=fixed.SCORES, label=fixed.LABEL, continuous=False) -> DataFrame:
     """One-sided test (positives higher): U, z with tie and continuity
     correction, and the normal p."""
+    tests = _normal_test(rank_sums(df, scores, label, continuous))
+    return tests.select("score", "n_pos", "n_neg", "u", "z", "p_value")
+
+
+def _normal_test(sums: DataFrame) -> DataFrame:
     n1, n2 = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     n = n1 + n2
     spread = F.sqrt(n1 * n2 / 12.0 * ((n + 1.0) - F.try_divide(F.col("tie_term"), n * (n - 1.0))))
-    return (
-        rank_sums(df, scores, label, continuous)
-        .withColumn("z", F.try_divide(F.col("u") - n1 * n2 / 2.0 - 0.5, spread))
-        .withColumn("p_value", normal_upper_p("z"))
-        .select("score", "n_pos", "n_neg", "u", "z", "p_value")
+    return sums.withColumn("z", F.try_divide(F.col("u") - n1 * n2 / 2.0 - 0.5, spread)).withColumn(
+        "p_value", normal_upper_p("z")
     )
 
 
@@ -163,15 +166,30 @@ def score_distribution(
 ) -> DataFrame:
     """Per score: size, mean, exact median and sample deviation of each class,
     with the Mann-Whitney p and the AUROC."""
-    long = long_scores(df, scores, label).where(F.col("label").isin(0, 1))
-    counts = long.groupBy("score", "label", "value").agg(F.count(F.lit(1)).alias("n"))
-    medians = exact_medians(
-        counts, "value", "n", ["score", "label"], _points(counts, "value", continuous)
+    classes = class_counts(df, scores, label)  # the one pass over the records
+    counts = classes.select(
+        "score", "value",
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).alias("label"), F.col("neg").alias("n")),
+                F.struct(F.lit(1).alias("label"), F.col("pos").alias("n")),
+            )
+        ),
+    ).where("n > 0")
+    keys, weight = ["score", "label"], F.col("n").cast("double")
+    medians = exact_medians(counts, "value", "n", keys, _points(classes, "value", continuous))
+    means = counts.groupBy(*keys).agg(
+        F.sum("n").alias("size"), (F.sum(weight * F.col("value")) / F.sum(weight)).alias("mean")
     )
-    moments = long.groupBy("score", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
+    # Two rows per score: the broadcast is bounded.
+    gap = F.col("value") - F.col("mean")
+    moments = (
+        counts.join(F.broadcast(means), keys)
+        .groupBy(*keys, "size", "mean")
+        .agg(F.sum(weight * gap * gap).alias("_squares"))
+        .withColumn("std", F.sqrt(F.try_divide("_squares", F.col("size") - 1.0)))
     )
-    both = moments.join(medians, ["score", "label"])
+    both = moments.withColumnRenamed("size", "n").join(medians, keys)
 
     def of(name, cls):
         return F.max(F.when(F.col("label") == cls, F.col(name))).alias(f"{name}_{'pos' if cls else 'neg'}")
@@ -179,10 +197,8 @@ def score_distribution(
     sides = both.groupBy("score").agg(
         *[of(name, cls) for name in ("n", "mean", "median", "std") for cls in (0, 1)]
     )
-    tests = mann_whitney(df, scores, label, continuous)
-    area = F.try_divide(
-        F.col("u"), F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
-    )
+    tests = _normal_test(_rank_sums(classes, continuous))
+    area = F.col("u") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
     return sides.where("n_pos > 0 and n_neg > 0").join(
         tests.select("score", "p_value", area.alias("auroc")), "score"
     )
@@ -191,10 +207,11 @@ def score_distribution(
 def score_histogram(df: DataFrame, score: str, label: str = fixed.LABEL) -> DataFrame:
     """(bucket, records, rate_pct) for all of 0..10; scores are rounded half to
     even and limited to the scale, the rate of an empty bucket is null."""
-    rounded = F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.bround(number_or_null(F.col(score)), 0)))
-    kept = df.where(number_or_null(F.col(score)).isNotNull())
-    counts = kept.groupBy(rounded.cast("int").alias("bucket")).agg(
-        F.count(F.lit(1)).alias("records"), F.avg(F.col(label).cast("double")).alias("_rate")
+    numbers = with_numbers(df.select(score, label), {"_value": score})
+    counts = (
+        numbers.groupBy(score_0_10(F.col("_value")).alias("bucket"))
+        .agg(F.count("_value").alias("records"), F.avg(F.col(label).cast("double")).alias("_rate"))
+        .where(F.col("bucket").isNotNull())
     )
     scale = df.sparkSession.range(11).select(F.col("id").cast("int").alias("bucket"))
     return scale.join(F.broadcast(counts), "bucket", "left").select(

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom import fixed
-from riskloom.functions.columns import add_up, band, score_0_10
+from riskloom.functions.columns import add_up, band, number_text, score_0_10
 from riskloom.operators.ordering import keys_at
 
 
@@ -49,52 +49,72 @@ def apply_flag_rules(df: DataFrame, rules: dict[str, tuple[str, str | None]]) ->
     return df.withColumns(flags)
 
 
-def _member(parsed: Column, name: str) -> tuple[Column, Column]:
-    """(type name, text) of a top-level member; the type is null when absent."""
-    value = F.try_variant_get(parsed, f"$.{name}", "variant")
-    return F.schema_of_variant(value), F.try_variant_get(parsed, f"$.{name}", "string")
+def _with_members(df: DataFrame, response: str, names: list[str]) -> DataFrame:
+    """Add `_kind_<name>` and `_text_<name>` for top-level members of a JSON
+    object. Each response is parsed once, in a projection of its own. The kind
+    is null for an absent member, and `_object` is false without an object."""
+    parsed = df.withColumn("_json", F.try_parse_json(response))
+    members = {"_object": F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))}
+    for name in names:
+        members[f"_kind_{name}"] = F.schema_of_variant(
+            F.try_variant_get(F.col("_json"), f"$.{name}", "variant")
+        )
+        members[f"_text_{name}"] = F.try_variant_get(F.col("_json"), f"$.{name}", "string")
+    return parsed.withColumns(members).drop("_json")
 
 
-def _json_object(response: Column) -> Column:
-    parsed = F.try_parse_json(response)
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+def _without_members(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c == "_object" or c.startswith(("_kind_", "_text_"))])
 
 
-def response_flag(response: Column, flag: str) -> Column:
-    """Truth of a member: false, null, 0, "", [] , {} and absence are 0."""
-    kind, text = _member(_json_object(response), flag)
-    number = text.try_cast("double")
+def _truth(name: str) -> Column:
+    """Truth of a member: false, null, 0, "", [], {} and absence are 0."""
+    kind, text = F.col(f"_kind_{name}"), F.col(f"_text_{name}")
     truth = (
         F.when(kind.isNull() | (kind == "VOID"), False)
         .when(kind == "BOOLEAN", text == "true")
         .when(kind == "STRING", text != "")
         .when(kind.startswith("ARRAY"), text != "[]")
         .when(kind.startswith("OBJECT"), text != "{}")
-        .otherwise(number != 0)
+        .otherwise(text.try_cast("double") != 0)
     )
-    return F.coalesce(truth, F.lit(False)).cast("int")
+    return (F.col("_object") & F.coalesce(truth, F.lit(False))).cast("int")
 
 
 def parse_flags(
     df: DataFrame, response: str = "response", flags: list[str] = fixed.FLAGS
 ) -> DataFrame:
     """Add each expected flag from a JSON response; other members are ignored."""
-    return df.withColumns({f: response_flag(F.col(response), f) for f in flags})
+    members = _with_members(df, response, flags)
+    return _without_members(members.withColumns({f: _truth(f) for f in flags}))
 
 
-def response_score(response: Column, default: int | None = None, name: str = "risk_score") -> Column:
-    """Score in a JSON response, 0..10. An absent member gives `default`;
-    null, unreadable and non-JSON responses give null."""
-    parsed = _json_object(response)
-    kind, text = _member(parsed, name)
+def parse_score(
+    df: DataFrame,
+    out: str,
+    response: str = "response",
+    default: int | None = None,
+    name: str = "risk_score",
+) -> DataFrame:
+    """Add the 0..10 score of a JSON response. An absent member gives
+    `default`; null, unreadable and non-JSON responses give null."""
+    kind, text = F.col(f"_kind_{name}"), F.col(f"_text_{name}")
     number = (
         F.when(kind == "BOOLEAN", (text == "true").cast("double"))
         .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), None)
-        .otherwise(F.when(~F.trim(text).rlike("[0-9.][dDfF]$"), text).try_cast("double"))
+        .otherwise(number_text(text).try_cast("double"))
     )
-    finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-    return F.when(parsed.isNull(), None).when(kind.isNull(), F.lit(default).cast("int")).otherwise(
-        score_0_10(finite)
+    finite = F.when(F.abs(F.col("_number")) < float("inf"), F.col("_number"))
+    return _without_members(
+        _with_members(df, response, [name])
+        .withColumn("_number", number)
+        .withColumn(
+            out,
+            F.when(~F.col("_object"), None)
+            .when(kind.isNull(), F.lit(default).cast("int"))
+            .otherwise(score_0_10(finite)),
+        )
+        .drop("_number")
     )
 
 

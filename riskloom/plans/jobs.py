@@ -37,7 +37,7 @@ def score_selected(
     chosen = clean.strip_sensitive(scoring.select_range(df, key, start, end), keep_key=key)
     texts = clean.render_posting(chosen, key)
     answers = scoring.score_with(texts, key, "posting_text", scorer)
-    new = answers.select(key, "ok", scoring.response_score(F.col("response")).alias(out))
+    new = scoring.parse_score(answers, out).select(key, "ok", out)
     return scoring.overlay_results(df, new, key, [out], "ok")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom import fixed
 from riskloom.functions.columns import significance_stars
+from riskloom.functions.layout import spread
 from riskloom.functions.pvalues import chi2_1dof_p
 from riskloom.operators import (
     agreement, balance, clean, coverage, features, flag_stats, models, paired, rank_stats,
@@ -129,11 +130,8 @@ def parse_flags(v: Views) -> DataFrame:
 
 @query
 def parse_score(v: Views) -> DataFrame:
-    return v.responses().select(
-        ORDER,
-        scoring.response_score(F.col("response"), default=0).alias("subset_score"),
-        scoring.response_score(F.col("response")).alias("single_score"),
-    )
+    both = scoring.parse_score(v.responses(), "subset_score", default=0)
+    return scoring.parse_score(both, "single_score").drop("response")
 
 
 @query
@@ -166,17 +164,15 @@ def length_scorer(texts):
 def score_with_injected(v: Views) -> DataFrame:
     postings = clean.render_posting(v.postings(), fixed.KEY)
     scored = scoring.score_with(postings, fixed.KEY, "posting_text", length_scorer)
-    return scored.select(
-        fixed.KEY, "ok", scoring.response_score(F.col("response")).alias("single_pass_risk_score")
-    )
+    return scoring.parse_score(scored, fixed.SINGLE_SCORE).drop("response")
 
 
 @query
 def failure_defaults(v: Views) -> DataFrame:
-    failed = scoring.parse_flags(v.responses(), flags=["flag1_sensitive_info"]).withColumns({
-        "risk_score_all": scoring.response_score(F.col("response"), default=0),
-        "ok": F.col("response").startswith("{"),
-    })
+    parsed = scoring.parse_flags(v.responses(), flags=["flag1_sensitive_info"])
+    failed = scoring.parse_score(parsed, "risk_score_all", default=0).withColumn(
+        "ok", F.col("response").startswith("{")
+    )
     return scoring.failure_defaults(
         failed, "ok", ["flag1_sensitive_info"], ["risk_score_all"]
     ).select(ORDER, "flag1_sensitive_info", "risk_score_all")
@@ -197,10 +193,8 @@ def select_range(v: Views) -> DataFrame:
 
 @query
 def overlay_results(v: Views) -> DataFrame:
-    new = v.responses().select(
-        ORDER,
-        scoring.response_score(F.col("response"), default=0).alias("risk_score_all"),
-        F.col("response").startswith("{").alias("ok"),
+    new = scoring.parse_score(v.responses(), "risk_score_all", default=0).withColumn(
+        "ok", F.col("response").startswith("{")
     )
     return scoring.overlay_results(v.orders(), new, ORDER, ["risk_score_all"], "ok").select(
         ORDER, "risk_score_all"
@@ -543,7 +537,7 @@ def disagreement_counts(v: Views) -> DataFrame:
 
 def _tokens(v: Views) -> DataFrame:
     text = clean.combined_text()
-    return v.postings().select(
+    return spread(v.postings(), fixed.KEY).select(
         fixed.KEY, text_features.words(text, STOP_WORDS).alias("tokens")
     )
 
@@ -580,7 +574,7 @@ def tfidf_sparse(v: Views) -> DataFrame:
 @query
 def tfidf_svd(v: Views) -> DataFrame:
     """Unit-length dense text vectors; each one's length and leading weight."""
-    postings, text = v.postings(), clean.combined_text()
+    postings, text = spread(v.postings(), fixed.KEY), clean.combined_text()
     model = text_features.fit_text(postings, text, "dense", STOP_WORDS, components=20)
     dense = model.transform(postings, text).select(
         fixed.KEY, vector_to_array("text_vec").alias("x")
@@ -661,7 +655,7 @@ def onehot_topk(v: Views) -> DataFrame:
 def _modelling_rows(v: Views) -> DataFrame:
     """The labelled records with their salary columns."""
     parsed = salary.fill_mean(salary.parse_salary(v.postings()))
-    return parsed.where(F.col(fixed.LABEL).isNotNull())
+    return spread(parsed.where(F.col(fixed.LABEL).isNotNull()), fixed.KEY)
 
 
 @query

@@ -117,11 +117,10 @@ def test_response_score(spark):
         ("oops", None), (None, None), ('{"risk_score": []}', None),
     ]
     df = spark.createDataFrame([(c,) for c, _ in cases], "r string")
-    got = [r[0] for r in df.select(scoring.response_score(F.col("r"), default=0)).collect()]
+    got = [r["s"] for r in scoring.parse_score(df, "s", "r", default=0).collect()]
     assert got == [expected for _, expected in cases]
-    assert spark.createDataFrame([("{}",)], "r string").select(
-        scoring.response_score(F.col("r"))
-    ).first()[0] is None
+    empty = spark.createDataFrame([("{}",)], "r string")
+    assert scoring.parse_score(empty, "s", "r").first()["s"] is None
 
 
 def test_injected_scorer_failures_cost_one_row(spark):

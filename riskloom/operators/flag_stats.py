@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskloom import fixed
 from riskloom.functions.columns import add_up, half_even, ratio, significance_stars
@@ -142,9 +142,13 @@ def flag_agreement(
     counts = (
         df.select(total_flags(df, flags).alias("total_flags"), F.col(label).alias("_y"))
         .groupBy("total_flags")
-        .agg(F.count("_y").alias("records"), F.sum("_y").cast("bigint").alias("positives"))
+        .agg(
+            F.count("_y").alias("records"), F.sum("_y").cast("bigint").alias("positives"),
+            F.count(F.lit(1)).alias("_rows"),
+        )
     )
-    total = df.agg(F.count(F.lit(1))).scalar()
+    # One row per number of flags: the single window is intended.
+    total = F.sum("_rows").over(W.partitionBy(F.lit(0)))
     return counts.select(
         "total_flags", "records",
         (ratio(F.col("records"), total) * 100.0).alias("share_pct"),

@@ -8,7 +8,7 @@ flags) those few rows go through one small window; for continuous values pass
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskloom import fixed
 from riskloom.functions.columns import ratio, score_0_10, with_numbers
@@ -204,37 +204,41 @@ def score_distribution(
     )
 
 
-def score_histogram(df: DataFrame, score: str, label: str = fixed.LABEL) -> DataFrame:
-    """(bucket, records, rate_pct) for all of 0..10; scores are rounded half to
-    even and limited to the scale, the rate of an empty bucket is null."""
-    numbers = with_numbers(df.select(score, label), {"_value": score})
+def score_histograms(
+    df: DataFrame, scores: list[str], label: str = fixed.LABEL
+) -> DataFrame:
+    """(score, bucket, records, rate_pct) for all of 0..10, every score in one
+    pass. Scores are rounded half to even and limited to the scale; the rate of
+    an empty bucket is null."""
     counts = (
-        numbers.groupBy(score_0_10(F.col("_value")).alias("bucket"))
-        .agg(F.count("_value").alias("records"), F.avg(F.col(label).cast("double")).alias("_rate"))
-        .where(F.col("bucket").isNotNull())
+        long_scores(df, scores, label)
+        .groupBy("score", score_0_10(F.col("value")).alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("records"), F.avg(F.col("label").cast("double")).alias("_rate"))
+    )
+    scale = df.sparkSession.range(11).select(
+        F.explode(F.array(*[F.lit(s) for s in scores])).alias("score"),
+        F.col("id").cast("int").alias("bucket"),
     )
-    scale = df.sparkSession.range(11).select(F.col("id").cast("int").alias("bucket"))
-    return scale.join(F.broadcast(counts), "bucket", "left").select(
-        "bucket",
+    # At most 11 rows per score: the broadcast is bounded.
+    return scale.join(F.broadcast(counts), ["score", "bucket"], "left").select(
+        "score", "bucket",
         F.coalesce(F.col("records"), F.lit(0)).cast("bigint").alias("records"),
         (F.col("_rate") * 100.0).alias("rate_pct"),
     )
 
 
+def score_histogram(df: DataFrame, score: str, label: str = fixed.LABEL) -> DataFrame:
+    return score_histograms(df, [score], label).drop("score")
+
+
 def score_histogram_pair(
     df: DataFrame, scores: list[str], label: str = fixed.LABEL
 ) -> DataFrame:
     """Histograms of several scores with the shared axis limit
     (1.08 x the largest bucket)."""
-    parts = [
-        score_histogram(df, s, label).select(F.lit(s).alias("score"), "bucket", "records", "rate_pct")
-        for s in scores
-    ]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    top = stacked.agg(F.max("records")).scalar().cast("double")
-    return stacked.withColumn("axis_max", top * 1.08)
+    # Eleven rows per score: the single window is intended.
+    top = F.max("records").over(W.partitionBy(F.lit(0))).cast("double")
+    return score_histograms(df, scores, label).withColumn("axis_max", top * 1.08)
 
 
 def average_precision(

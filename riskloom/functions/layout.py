@@ -9,7 +9,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Repartition by key when there are fewer input files than cores.
 
     For work that costs much per row (reading words, hashing a row for many
-    seeds). Inputs of many files are left as they are, without a shuffle.
+    seeds). Inputs of many files, and inputs that are no files, are left as
+    they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df

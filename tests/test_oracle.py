@@ -41,3 +41,17 @@ def test_results_do_not_depend_on_layout(spark, data):
                 assert seen.setdefault(name, rows) == rows
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_no_plan_pairs_all_rows(spark, small):
+    """No cross or nested-loop join, with every automatic broadcast turned off."""
+    eager = {"smote", "smote_rows", "smote_neighbors", "nearest_neighbors", "tfidf_svd", "feature_vectors", "feature_block_sizes"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in sorted(set(ORACLE) - eager):
+            frame = entry.queries()[name](spark, small)
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -184,3 +184,18 @@ def test_reports(spark, small):
     assert out["flag_agreement_analysis"].collect()[-1]["Number of Flags Fired"] == "Spearman ρ"
     assert {r["Column"] for r in out["risk_score_distribution"].collect()} == set(fixed.SCORES)
     assert reports.comparison_report(long_results(spark)).columns[-1] == "significant"
+
+
+def test_small_helpers(spark):
+    from riskloom.functions.layout import spread
+    from riskloom.operators.flag_stats import round_report
+
+    df = spark.createDataFrame([(0.125, 2.5, "x")], "a double, b double, c string")
+    row = round_report(df, {"a": 2, "b": 0, "absent": 1}).first()
+    assert (row["a"], row["b"]) == (0.12, 2.0)
+    tests = spark.createDataFrame([("m1", 0.049), ("m1", 0.05), ("m2", None)], "model string, p_value double")
+    marked = paired.mark_significant(paired.union_results([tests, tests]))
+    assert {r["model"]: (r["significant"], r["total"]) for r in paired.model_significance(marked).collect()} == {
+        "m1": (2, 4), "m2": (0, 2),
+    }
+    assert spread(df, "c") is df  # no files, so nothing is moved

@@ -655,7 +655,7 @@ def onehot_topk(v: Views) -> DataFrame:
 def _modelling_rows(v: Views) -> DataFrame:
     """The labelled records with their salary columns."""
     parsed = salary.fill_mean(salary.parse_salary(v.postings()))
-    return spread(parsed.where(F.col(fixed.LABEL).isNotNull()), fixed.KEY)
+    return parsed.where(F.col(fixed.LABEL).isNotNull())
 
 
 @query
@@ -672,11 +672,13 @@ def feature_vectors(v: Views) -> DataFrame:
     """The assembled matrix: set entries and their sum per record."""
     rows = _modelling_rows(v)
     model = features.prepare_train(rows, fixed.KEY, "sparse", "std", stop_words=STOP_WORDS)
-    values = vector_to_array(F.col("features"))
-    return features.prepare_test(rows, model).select(
+    matrix = features.prepare_test(spread(rows, fixed.KEY), model).select(
+        fixed.KEY, vector_to_array("features").alias("values")
+    )
+    return matrix.select(
         fixed.KEY,
-        F.size(values).cast("bigint").alias("width"),
-        F.round(F.aggregate(values, F.lit(0.0), lambda total, x: total + x), 4).alias("total"),
+        F.size("values").cast("bigint").alias("width"),
+        F.round(F.aggregate("values", F.lit(0.0), lambda total, x: total + x), 4).alias("total"),
     )
 
 

@@ -187,19 +187,11 @@ def score_bands(df: DataFrame, score: str, scale: str = "subset", out: str = "ba
     return df.withColumn(out, band(F.col(score), bands))
 
 
-def score_with(
-    df: DataFrame,
-    key: str,
-    text: str,
-    scorer: Callable[[pd.Series], pd.Series],
-) -> DataFrame:
-    """(key, response, ok): run an injected batch scorer over rendered texts.
+Scorer = Callable[[pd.Series], pd.Series]
 
-    The scorer gets a Series of texts and returns a Series of JSON responses
-    (null = this row failed). A batch that raises is retried row by row, so one
-    bad row costs only itself. Rows are stateless; the number of partitions is
-    the number of scorers at work.
-    """
+
+def _answers(scorer: Scorer, texts: pd.Series) -> list:
+    """Responses to a batch; if the batch raises, each row is tried alone."""
 
     def one(value):
         try:
@@ -207,18 +199,44 @@ def score_with(
         except Exception:  # noqa: BLE001 - the scorer is foreign code
             return None
 
+    try:
+        return list(scorer(texts))
+    except Exception:  # noqa: BLE001
+        return [one(value) for value in texts]
+
+
+def score_many(
+    df: DataFrame, steps: dict[str, tuple[str, Scorer]], carry: list[str]
+) -> DataFrame:
+    """Run several injected batch scorers over the rows in one pass.
+
+    `steps` maps a name to (text column, scorer). A scorer gets a Series of
+    texts and returns a Series of JSON responses; null means the row failed,
+    and one bad row costs only itself. Rows are stateless. The result has the
+    `carry` columns and `response_<name>`; the number of partitions is the
+    number of scorers at work.
+    """
+    texts = list(dict.fromkeys(text for text, _ in steps.values()))
+    rows = df.select(*carry, *[t for t in texts if t not in carry])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                answers = list(scorer(batch[text]))
-            except Exception:  # noqa: BLE001
-                answers = [one(value) for value in batch[text]]
-            out = pd.DataFrame({key: batch[key], "response": pd.Series(answers, index=batch.index, dtype=object)})
-            out["ok"] = out["response"].notna()
+            out = batch[carry].copy()
+            for name, (text, scorer) in steps.items():
+                answers = _answers(scorer, batch[text])
+                out[f"response_{name}"] = pd.Series(answers, index=batch.index, dtype=object)
             yield out
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, response string, ok boolean")
+    kept = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry]
+    return rows.mapInPandas(run, ", ".join([*kept, *[f"response_{n} string" for n in steps]]))
+
+
+def score_with(df: DataFrame, key: str, text: str, scorer: Scorer) -> DataFrame:
+    """(key, response, ok): one injected scorer over rendered texts."""
+    answered = score_many(df, {"text": (text, scorer)}, [key])
+    return answered.select(
+        key, F.col("response_text").alias("response"), F.col("response_text").isNotNull().alias("ok")
+    )
 
 
 def scoring_progress(df: DataFrame, key: str, score: str = "risk_score_all") -> DataFrame:

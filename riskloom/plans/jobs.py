@@ -3,6 +3,8 @@ user of the study would want, as lazy DataFrames."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom import fixed
@@ -28,6 +30,34 @@ def score_records(
     return scoring.weighted_risk(flagged, weights)
 
 
+def score_by_agents(df: DataFrame, key: str, flag_scorer, subset_scorer) -> DataFrame:
+    """(key, flags, combination scores) from injected scorers.
+
+    `flag_scorer(agent, texts)` answers for one agent's flags from the rendered
+    record. `subset_scorer(combo, flags)` sees only that combination's flags, as
+    JSON, never the record. Failed flag steps leave 0, failed scores null.
+    """
+    texts = clean.render_posting(clean.strip_sensitive(df, keep_key=key), key)
+    agents = {
+        agent: ("posting_text", partial(flag_scorer, agent)) for agent in fixed.AGENT_FLAG_IDS
+    }
+    flagged = scoring.score_many(texts, agents, [key])
+    for agent, ids in fixed.AGENT_FLAG_IDS.items():
+        names = [fixed.FLAG_BY_ID[i] for i in ids]
+        flagged = scoring.parse_flags(flagged, f"response_{agent}", names)
+    shown = flagged.withColumns({
+        f"seen_{combo}": F.to_json(
+            F.struct(*[(F.col(f) == 1).alias(f) for f in scoring.combo_flag_names(combo)])
+        )
+        for combo in fixed.COMBO_AGENTS
+    })
+    combos = {c: (f"seen_{c}", partial(subset_scorer, c)) for c in fixed.COMBO_AGENTS}
+    answered = scoring.score_many(shown, combos, [key, *fixed.FLAGS])
+    for combo, out in fixed.COMBO_SCORE.items():
+        answered = scoring.parse_score(answered, out, f"response_{combo}", default=0)
+    return answered.select(key, *fixed.FLAGS, *fixed.COMBO_SCORE.values())
+
+
 def score_selected(
     df: DataFrame, key: str, scorer, start: int = 0, end: int = -1, out: str = fixed.SINGLE_SCORE
 ) -> DataFrame:

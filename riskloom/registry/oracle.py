@@ -263,6 +263,18 @@ ORACLE["score_with_injected"] = with_views(
     SELECT job_id, true AS ok,
     CAST(least(10, round_even(CAST(length(t) % 23 AS DOUBLE) / 2, 0)) AS INT) AS single_pass_risk_score FROM r""",
 )
+_AGENT_FLAGS = {f: f"CASE WHEN length(t) % {i + 2} = 0 THEN 1 ELSE 0 END" for i, f in fixed.FLAG_BY_ID.items()}
+ORACLE["score_by_agents"] = with_views(
+    "postings",
+    f"""WITH r AS (SELECT job_id, {_RENDERED} AS t FROM postings),
+    fl AS (SELECT job_id, {', '.join(f'{sql} AS {f}' for f, sql in _AGENT_FLAGS.items())} FROM r)
+    SELECT *, """
+    + ", ".join(
+        f"CAST(least(10, round_even(CAST(2.5 * ({' + '.join(combo_members(c))}) AS DOUBLE), 0)) AS INT) AS {s}"
+        for c, s in fixed.COMBO_SCORE.items()
+    )
+    + " FROM fl",
+)
 _OK = "response IS NOT NULL AND response LIKE '{%'"
 ORACLE["failure_defaults"] = with_views(
     "responses",

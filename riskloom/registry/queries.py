@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,6 +16,7 @@ from riskloom.operators import (
     agreement, balance, clean, coverage, features, flag_stats, models, paired, rank_stats,
     results, salary, scoring, splits, text_features,
 )
+from riskloom.plans import jobs
 from riskloom.registry.views import Views
 
 ORDER = "o_orderkey"
@@ -167,6 +169,22 @@ def score_with_injected(v: Views) -> DataFrame:
     return scoring.parse_score(scored, fixed.SINGLE_SCORE).drop("response")
 
 
+def length_flags(agent, texts):
+    """A deterministic agent: flag i is set when i + 2 divides the length."""
+    flags = {fixed.FLAG_BY_ID[i]: i + 2 for i in fixed.AGENT_FLAG_IDS[agent]}
+    return texts.map(lambda t: json.dumps({f: len(t) % d == 0 for f, d in flags.items()}))
+
+
+def count_set(combo, seen):
+    return seen.map(lambda s: json.dumps({"risk_score": 2.5 * sum(json.loads(s).values())}))
+
+
+@query
+def score_by_agents(v: Views) -> DataFrame:
+    """Flags from three agents, then four scores that see only flags."""
+    return jobs.score_by_agents(v.postings(), fixed.KEY, length_flags, count_set)
+
+
 @query
 def failure_defaults(v: Views) -> DataFrame:
     parsed = scoring.parse_flags(v.responses(), flags=["flag1_sensitive_info"])

@@ -196,3 +196,26 @@ def test_score_selected_rows(spark):
 
     out = jobs.score_selected(df, "job_id", scorer, 1, 3)
     assert {r["job_id"]: r["single_pass_risk_score"] for r in out.collect()} == {1: None, 2: 2, 3: 3, 4: 4, 5: None}
+
+
+def test_agents_see_the_record_and_subsets_see_flags(spark):
+    df = spark.createDataFrame([(1, "good", 1), (2, "bad", 0)], "job_id bigint, title string, fraudulent_agent int")
+
+    def flag_scorer(agent, texts):
+        if agent == "context" and texts.str.contains("bad").any():
+            raise RuntimeError("no answer")
+        assert texts.str.startswith("Title: ").all()
+        flags = {fixed.FLAG_BY_ID[i]: True for i in fixed.AGENT_FLAG_IDS[agent]}
+        return texts.map(lambda _: json.dumps(flags))
+
+    def subset_scorer(combo, seen):
+        assert not seen.str.contains("good").any()
+        if combo == "legit_consist":
+            raise RuntimeError("no answer")
+        return seen.map(lambda s: json.dumps({"risk_score": sum(json.loads(s).values())}))
+
+    out = {r["job_id"]: r for r in jobs.score_by_agents(df, "job_id", flag_scorer, subset_scorer).collect()}
+    assert out[1]["flag4_anon_employer"] == 1 and out[2]["flag4_anon_employer"] == 0
+    assert (out[1]["risk_score_all"], out[2]["risk_score_all"]) == (8, 7)
+    assert (out[1]["risk_score_legit_context"], out[2]["risk_score_context_consist"]) == (5, 3)
+    assert out[1]["risk_score_legit_consist"] is None

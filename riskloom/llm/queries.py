@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import decontamination, line_dedup, quality_classifier, sharding, store, toxicity
+from riskloom.llm import (
+    decontamination, line_dedup, ngram_join, quality_classifier, quality_rules, sharding, store, substring_dedup, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document."""
+    found = ngram_join.similar_components(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text by its labelled neighbours."""
     docs = store.named(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
@@ -49,6 +57,21 @@ def _verdict(scored: DataFrame, divisor: int, held_out: int, threshold: float) -
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of every text and the verdict of the rules."""
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "votes", F.round("posterior", 6).alias("posterior"),
+    )
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated passages to cut, with their places in the original texts."""
+    found = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("kept").alias("kept_doc_id"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the lines of templates that recur across documents."""
     docs = store.named(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
@@ -57,6 +80,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_decontamination, op2_sharding, op5_quality, op6_toxicity, op10_line_dedup,
+        op1_decontamination, op2_sharding, op3_ngram_join, op5_quality, op6_toxicity,
+        op7_quality_rules, op9_substring_dedup, op10_line_dedup,
     )
 }

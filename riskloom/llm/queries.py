@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.llm import (
-    decontamination, line_dedup, ngram_join, quality_classifier, quality_rules, sharding, store, substring_dedup, toxicity,
+    decontamination, line_dedup, ngram_join, quality_classifier, quality_rules, sentence_pieces, sharding, store,
+    substring_dedup, token_files, toxicity,
 )
 
 
+# Files of the public tokenizers; every executor has them at the same path.
+WORD_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
+END_ID = 1
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +47,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the files of directly addressable codes give it back."""
+    folder = store.shared_folder(spark)
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), folder, tokenizer_file(WORD_TOKENIZER), END_ID)
+    return token_files.read_tokens(spark, folder, "ids_crc32 long", token_files.crc_of).withColumnRenamed("id", "doc_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text by its labelled neighbours."""
     docs = store.named(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
@@ -66,6 +86,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every text, and whether they decode to it."""
+    docs = store.named(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return sentence_pieces.with_round_trip(docs, tokenizer_file(PIECE_MODEL)).select("doc_id", "trip.*")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repeated passages to cut, with their places in the original texts."""
     found = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
@@ -80,7 +106,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_decontamination, op2_sharding, op3_ngram_join, op5_quality, op6_toxicity,
-        op7_quality_rules, op9_substring_dedup, op10_line_dedup,
+        op1_decontamination, op2_sharding, op3_ngram_join, op4_token_files, op5_quality, op6_toxicity,
+        op7_quality_rules, op8_sentence_pieces, op9_substring_dedup, op10_line_dedup,
     )
 }

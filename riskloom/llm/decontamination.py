@@ -134,8 +134,9 @@ def phrase_matches(
         f"s -> transform(slice(there, s + 1, width), w -> translate(w, '{_UPPER}', '{_FOLDED}')) = slice(wanted, s + 1, width)) "
         "ELSE cast(array() AS array<int>) END"
     )
+    # Exploding one array of starts keeps the filter behind it, so words are read once.
     return (
-        aligned.withColumn("starts", starts).where("size(starts) > 0")
+        aligned.select("doc", "passage", "begin", "width", F.explode(F.array(starts)).alias("starts")).where("size(starts) > 0")
         .select("doc", "passage", F.expr(
             "array_distinct(flatten(transform(starts, s -> sequence(begin + s, begin + s + width - 1))))"
         ).alias("hits"))

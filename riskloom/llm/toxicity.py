@@ -28,8 +28,10 @@ POSITIVE_ROWS = 800
 NEGATIVE_ROWS = 1600
 LONGEST_CHARS = 3000
 EPOCHS = 18
-WARM_EPOCHS = 4
 BATCH = 4096
+# Few segments get more epochs, so that there are so many steps at least.
+STEPS = 240
+WARM_SHARE = 0.2
 TOXIC_FROM = 0.5
 
 _STEP = np.uint64(0x100000001B3)
@@ -128,8 +130,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicityModel |
     memory = [np.full_like(vectors, 1e-6), np.full_like(soft, 1e-6), np.full_like(bias, 1e-6)]
     n = len(bags.lengths)
     target, weight = bags.labels.astype(np.int64), np.ones(n, np.float32)
-    for epoch in range(EPOCHS):
-        if epoch >= WARM_EPOCHS:
+    epochs = max(EPOCHS, -(-STEPS // -(-n // BATCH)))
+    for epoch in range(epochs):
+        if epoch >= WARM_SHARE * epochs:
             scores = _segment_logits(bags, vectors @ (soft[:, 1] - soft[:, 0])) + bias[1] - bias[0]
             top = np.full(len(texts), -np.inf)
             np.maximum.at(top, bags.docs, scores)

@@ -136,7 +136,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicityModel |
             scores = _segment_logits(bags, vectors @ (soft[:, 1] - soft[:, 0])) + bias[1] - bias[0]
             top = np.full(len(texts), -np.inf)
             np.maximum.at(top, bags.docs, scores)
-            suspected = (scores >= top[bags.docs]) | (scores > 0)
+            suspected = scores >= top[bags.docs]
             weight = np.where(bags.labels == 1, suspected, 1).astype(np.float32)
         used = np.flatnonzero(weight > 0)
         rng.shuffle(used)

@@ -86,7 +86,7 @@ def test_misspelt_words_share_ngrams():
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     plain = [" ".join(word() for _ in range(40)) for _ in range(200)]
     toxic = [f"{t} {bad} {t}" for t, bad in zip(plain, ["zlooper", "qwizard"] * 50)]
-    model = toxicity.train(toxic + plain[100:], [1] * 100 + [0] * 100)
+    model = toxicity.train(toxic + plain, [1] * 100 + [0] * 200)
     clean = max(model.score(" ".join(word() for _ in range(4))) for _ in range(50))
     assert min(model.score("abcd zlooperz efgh"), model.score("abcd qwizzard efgh")) > max(clean, 0.5)
     assert model.score(None) == model.score(" \n") == 0.0

@@ -1,16 +1,18 @@
-"""Spreading the rows of a few input files over the cores."""
+"""Spreading rows over idle cores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition by key when there are fewer input files than cores.
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Repartition by key into `partitions`; by default only when the rows come in
+    fewer partitions than there are cores, which would leave cores idle.
 
     For work that costs much per row (reading words, hashing a row for many
-    seeds). Inputs of many files, and inputs that are no files, are left as
-    they are, without a shuffle.
+    seeds). Rows in enough partitions are left as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df
+    if partitions is None and df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(partitions or cores, key)

@@ -19,17 +19,27 @@ def base_rate(df: DataFrame, label: str = fixed.LABEL) -> DataFrame:
 def contingency(
     df: DataFrame, flags: list[str] = fixed.FLAGS, label: str = fixed.LABEL
 ) -> DataFrame:
-    """Per flag the 2x2 counts: n11 flagged positive, n10 flagged negative,
-    n01 unflagged positive, n00 unflagged negative.
+    """Per flag the 2x2 counts of the labelled records: n11 flagged positive,
+    n10 flagged negative, n01 unflagged positive, n00 unflagged negative."""
+    return _counted(df, flags, label).drop("flagged", "records", "positives")
+
+
+def _counted(df: DataFrame, flags: list[str], label: str) -> DataFrame:
+    """The 2x2 counts, and over all records, labelled or not: how many have the
+    flag, how many there are, and how many are positive.
 
     One pass with conditional sums; rows are not multiplied by the flags.
     """
     present = [f for f in flags if f in df.columns]
-    hit = F.col(label) == 1
-    counts = [F.count(F.lit(1)).alias("n"), F.count(F.when(hit, 1)).alias("p")]
+    hit, known = F.col(label) == 1, F.col(label).isNotNull()
+    counts = [
+        F.count(F.lit(1)).alias("records"), F.count(F.when(known, 1)).alias("n"),
+        F.count(F.when(hit, 1)).alias("p"),
+    ]
     for f in present:
         counts += [
-            F.count(F.when(F.col(f) == 1, 1)).alias(f"{f}__n"),
+            F.count(F.when(F.col(f) == 1, 1)).alias(f"{f}__all"),
+            F.count(F.when((F.col(f) == 1) & known, 1)).alias(f"{f}__n"),
             F.count(F.when((F.col(f) == 1) & hit, 1)).alias(f"{f}__p"),
         ]
     rows = [
@@ -39,6 +49,7 @@ def contingency(
             (F.col(f"{f}__n") - F.col(f"{f}__p")).alias("n10"),
             (F.col("p") - F.col(f"{f}__p")).alias("n01"),
             (F.col("n") - F.col("p") - F.col(f"{f}__n") + F.col(f"{f}__p")).alias("n00"),
+            F.col(f"{f}__all").alias("flagged"), F.col("records"), F.col("p").alias("positives"),
         )
         for f in present
     ]
@@ -49,8 +60,8 @@ def _margins() -> dict[str, Column]:
     cell = {c: F.col(c).cast("double") for c in ("n11", "n10", "n01", "n00")}
     return {
         **cell,
-        "flagged": cell["n11"] + cell["n10"],
-        "unflagged": cell["n01"] + cell["n00"],
+        "with_flag": cell["n11"] + cell["n10"],
+        "without_flag": cell["n01"] + cell["n00"],
         "positive": cell["n11"] + cell["n01"],
         "negative": cell["n10"] + cell["n00"],
         "n": cell["n11"] + cell["n10"] + cell["n01"] + cell["n00"],
@@ -58,12 +69,16 @@ def _margins() -> dict[str, Column]:
 
 
 def expected_cells(tables: DataFrame) -> DataFrame:
-    """Add the smallest expected cell and the test it calls for."""
+    """Add the smallest expected cell and the test it calls for.
+
+    A row or column without records has no cells: a flag that every record has
+    leaves a table of one row, for which the chi-square test gives p = 1.
+    """
     m = _margins()
     smallest = F.least(
         *[
-            F.try_divide(m[r] * m[c], m["n"])
-            for r in ("flagged", "unflagged") for c in ("positive", "negative")
+            F.when((m[r] > 0) & (m[c] > 0), m[r] * m[c] / m["n"])
+            for r in ("with_flag", "without_flag") for c in ("positive", "negative")
         ]
     )
     return tables.withColumn("expected_min", smallest).withColumn(
@@ -77,8 +92,9 @@ def chi2_yates(tables: DataFrame) -> DataFrame:
     gap = F.greatest(
         F.lit(0.0), F.abs(m["n11"] * m["n00"] - m["n10"] * m["n01"]) - m["n"] / 2.0
     )
-    bottom = m["flagged"] * m["unflagged"] * m["positive"] * m["negative"]
-    return tables.withColumn("chi2", F.try_divide(m["n"] * gap * gap, bottom))
+    bottom = m["with_flag"] * m["without_flag"] * m["positive"] * m["negative"]
+    chi2 = F.when(bottom > 0, m["n"] * gap * gap / bottom).when(m["n"] > 0, F.lit(0.0))
+    return tables.withColumn("chi2", chi2)
 
 
 def fisher_exact(tables: DataFrame) -> DataFrame:
@@ -86,16 +102,20 @@ def fisher_exact(tables: DataFrame) -> DataFrame:
 
 
 def flag_rates(tables: DataFrame) -> DataFrame:
-    """Prevalence, rates, difference and relative risk; flags never set drop out."""
+    """Prevalence, rates, difference and relative risk; flags never set drop out.
+
+    Prevalence and base rate are shares of all records; the rates with and
+    without the flag are means over the labelled ones.
+    """
     m = _margins()
-    rate_with = ratio(m["n11"], m["flagged"]) * 100.0
-    rate_without = ratio(m["n01"], m["unflagged"]) * 100.0
+    rate_with = ratio(m["n11"], m["with_flag"]) * 100.0
+    rate_without = ratio(m["n01"], m["without_flag"]) * 100.0
+    records = F.col("records").cast("double")
     return (
-        tables.where(F.col("n11") + F.col("n10") > 0)
+        tables.where("flagged > 0")
         .withColumns({
-            "flagged": (F.col("n11") + F.col("n10")),
-            "prevalence_pct": ratio(m["flagged"], m["n"]) * 100.0,
-            "base_rate_pct": ratio(m["positive"], m["n"]) * 100.0,
+            "prevalence_pct": ratio(F.col("flagged").cast("double"), records) * 100.0,
+            "base_rate_pct": ratio(F.col("positives").cast("double"), records) * 100.0,
             "rate_without_pct": rate_without,
             "rate_with_pct": rate_with,
         })
@@ -118,7 +138,7 @@ def flag_prevalence(
     df: DataFrame, flags: list[str] = fixed.FLAGS, label: str = fixed.LABEL
 ) -> DataFrame:
     """Unrounded prevalence table with the chosen test's p, riskiest flag first."""
-    tables = fisher_exact(chi2_yates(expected_cells(contingency(df, flags, label))))
+    tables = fisher_exact(chi2_yates(expected_cells(_counted(df, flags, label))))
     return (
         flag_rates(tables)
         .withColumn(

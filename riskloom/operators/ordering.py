@@ -1,37 +1,35 @@
 """Positions and running totals over an order, without a one-task window.
 
 A global window sorts the whole table in one task. Here rows are first cut
-into value ranges at split points; each range is windowed on its own, and the
-range totals (a few hundred rows) carry the offsets across.
+into value ranges at split points, as many as the session has shuffle
+partitions; each range is windowed on its own, and the range totals carry the
+offsets across.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-RANGES = 256
 SAMPLE_PER_RANGE = 64
 
 
-def split_points(df: DataFrame, column: str, ranges: int = RANGES) -> list:
-    """Values that cut `column` into ranges of similar size.
+def split_points(df: DataFrame, column: str, ranges: int | None = None) -> list:
+    """Values that cut `column` into ranges of similar size, by default as many
+    as the session has shuffle partitions.
 
     Numbers: approximate quantiles in one pass. Other types: a sample whose
-    expected size is fixed (ranges x 64 values). The points only steer the
-    layout: any points give the same results.
+    expected size is ranges x 64 values. The points only steer the layout: any
+    points give the same results.
     """
+    ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     values = df.select(column).where(F.col(column).isNotNull())
-    wanted = ranges * SAMPLE_PER_RANGE
     if isinstance(df.schema[column].dataType, T.NumericType):
         steps = [i / ranges for i in range(1, ranges)]
-        row = values.agg(
-            F.count(column).alias("n"), F.percentile_approx(column, steps, 4 * ranges).alias("cuts")
-        ).first()
-        return sorted(set(row["cuts"])) if row["n"] > wanted else []
-    total = values.count()
-    if total <= wanted:  # one range sorts this in a moment
-        return []
-    sampled = sorted(r[0] for r in values.sample(wanted / total, seed=17).collect())
+        row = values.agg(F.percentile_approx(column, steps, 4 * ranges).alias("cuts")).first()
+        return sorted(set(row["cuts"] or []))
+    total = max(1, values.count())
+    share = min(1.0, ranges * SAMPLE_PER_RANGE / total)
+    sampled = sorted(r[0] for r in values.sample(share, seed=17).collect())
     step = max(1, len(sampled) // ranges)
     return sorted(set(sampled[step::step]))
 
@@ -91,7 +89,7 @@ def running_totals(
     for i, g in enumerate(groups):
         match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     inside = ranged.withColumns(sums(window([*groups, "_range"], by), "_inside"))
-    # At most len(points) + 1 rows per group, so the offsets are broadcast.
+    # One row per group and range, as many ranges as shuffle partitions: broadcast.
     joined = inside.join(F.broadcast(offsets), match)
     return joined.select(
         *df.columns,
@@ -114,7 +112,7 @@ def keys_at(df: DataFrame, key: str, positions: list[int]) -> list:
     if not positions:
         return []
     keys = df.select(key)
-    points = split_points(keys, key, ranges=16 * RANGES)
+    points = split_points(keys, key)
     ranged = keys.withColumn("_range", range_of(F.col(key), points))
     counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
     wanted, start = {}, 0

@@ -1,9 +1,8 @@
 """Rank statistics, exact at any size.
 
 Everything starts from one row per distinct value (map-side combined), never
-from a window over the records. On a short scale (0..10 scores, counts of
-flags) those few rows go through one small window; for continuous values pass
-`continuous=True` and the order is cut into ranges first.
+from a window over the records. The order of the values is cut into ranges
+first; on a short scale (0..10 scores, counts of flags) these are a few rows.
 """
 
 from __future__ import annotations
@@ -47,7 +46,7 @@ def rank_sums(
     df: DataFrame,
     scores: list[str] = fixed.SCORES,
     label: str = fixed.LABEL,
-    continuous: bool = False,
+    continuous: bool = True,
 ) -> DataFrame:
     """Per score: class sizes, U of the positives (ties count half), tie term."""
     return _rank_sums(class_counts(df, scores, label), continuous)
@@ -71,7 +70,7 @@ def _rank_sums(counts: DataFrame, continuous: bool) -> DataFrame:
     )
 
 
-def auroc(df, scores=fixed.SCORES, label=fixed.LABEL, continuous=False) -> DataFrame:
+def auroc(df, scores=fixed.SCORES, label=fixed.LABEL, continuous=True) -> DataFrame:
     """Exact area under the ROC curve; scores lacking a class are left out."""
     sums = rank_sums(df, scores, label, continuous)
     return sums.select(
@@ -80,7 +79,7 @@ def auroc(df, scores=fixed.SCORES, label=fixed.LABEL, continuous=False) -> DataF
     )
 
 
-def mann_whitney(df, scores=fixed.SCORES, label=fixed.LABEL, continuous=False) -> DataFrame:
+def mann_whitney(df, scores=fixed.SCORES, label=fixed.LABEL, continuous=True) -> DataFrame:
     """One-sided test (positives higher): U, z with tie and continuity
     correction, and the normal p."""
     tests = _normal_test(rank_sums(df, scores, label, continuous))
@@ -96,7 +95,7 @@ def _normal_test(sums: DataFrame) -> DataFrame:
     )
 
 
-def spearman(df: DataFrame, x: Column, y: Column, continuous: bool = False) -> DataFrame:
+def spearman(df: DataFrame, x: Column, y: Column, continuous: bool = True) -> DataFrame:
     """One row: n, rho over average ranks, and the two-sided t p-value."""
     pairs = (
         df.select(x.alias("x"), y.alias("y"))
@@ -162,7 +161,7 @@ def score_distribution(
     df: DataFrame,
     scores: list[str] = fixed.SCORES,
     label: str = fixed.LABEL,
-    continuous: bool = False,
+    continuous: bool = True,
 ) -> DataFrame:
     """Per score: size, mean, exact median and sample deviation of each class,
     with the Mann-Whitney p and the AUROC."""

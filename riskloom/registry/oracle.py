@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from riskloom import fixed
 from riskloom.registry import views
-from riskloom.registry.queries import RULES, STOP_WORDS, WEIGHTS
+from riskloom.registry.queries import RESULT_GROUPS, RESULT_MODELS, RULES, STOP_WORDS, WEIGHTS
 
 _VIEW_SQL = {
     "orders_view": views.ORDERS_VIEW,
@@ -88,14 +88,14 @@ ORACLE["coerce_flags"] = with_views(
     "SELECT o_orderkey, "
     + ", ".join(
         f"COALESCE(CAST({_number(f)} AS INT), 0) AS {f}"
-        for f in ("flag1_sensitive_info", "flag7_vague_info")
+        for f in fixed.FLAGS
     )
     + " FROM orders_raw",
 )
 ORACLE["coerce_scores"] = with_views(
     "orders_raw",
     "SELECT o_orderkey, "
-    + ", ".join(f"{_number(s)} AS {s}" for s in ("risk_score_all", "single_pass_risk_score"))
+    + ", ".join(f"{_number(s)} AS {s}" for s in fixed.SCORES)
     + " FROM orders_raw",
 )
 
@@ -306,11 +306,16 @@ ORACLE["base_rate"] = with_views(
     f"""SELECT count(*) AS n, CAST(sum({_Y}) AS BIGINT) AS positives,
     CAST(sum({_Y}) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 AS rate_pct FROM orders_view""",
 )
-_LONG_FLAGS = "long AS MATERIALIZED (" + union(
-    f"SELECT o_orderkey, '{f}' AS flag, {i} AS place, {f} AS v, {_Y} AS y FROM orders_view"
-    for i, f in enumerate(FLAGS)
-) + ")"
-_CELLS = f"""{_LONG_FLAGS}, cells AS MATERIALIZED (SELECT flag,
+def _long_flags(source: str, key: str, flags: list[str]) -> str:
+    return "long AS MATERIALIZED (" + union(
+        f"SELECT {key}, '{f}' AS flag, {i} AS place, {f} AS v, {_Y} AS y FROM {source}"
+        for i, f in enumerate(flags)
+    ) + ")"
+
+
+def _cells(source: str, key: str, flags: list[str]) -> str:
+    """The 2x2 counts of labelled records; `e` has expected cells and chi-square."""
+    return _long_flags(source, key, flags) + """, cells AS MATERIALIZED (SELECT flag,
   count(*) FILTER (v = 1 AND y = 1) AS n11, count(*) FILTER (v = 1 AND y = 0) AS n10,
   count(*) FILTER (v = 0 AND y = 1) AS n01, count(*) FILTER (v = 0 AND y = 0) AS n00 FROM long GROUP BY flag),
 m AS MATERIALIZED (SELECT *, CAST(n11 + n10 AS DOUBLE) AS r1, CAST(n01 + n00 AS DOUBLE) AS r0, CAST(n11 + n01 AS DOUBLE) AS c1,
@@ -322,6 +327,10 @@ terms AS (SELECT flag, n11, k, -(lgamma(k + 1) + lgamma(r1 - k + 1) + lgamma(c1
 peak AS (SELECT flag, max(w) AS top, max(CASE WHEN k = n11 THEN w END) AS seen FROM terms GROUP BY flag),
 fisher AS MATERIALIZED (SELECT flag, least(1.0, sum(CASE WHEN exp(w - top) <= exp(seen - top) * (1 + 1e-7) THEN exp(w - top) ELSE 0 END) / sum(exp(w - top))) AS fisher_p
   FROM terms JOIN peak USING (flag) GROUP BY flag)"""
+
+
+_LONG_FLAGS = _long_flags("orders_view", "o_orderkey", FLAGS)
+_CELLS = _cells("orders_view", "o_orderkey", FLAGS)
 ORACLE["contingency"] = with_views("orders_view", f"WITH {_CELLS} SELECT * FROM cells")
 _TEST = "CASE WHEN expected_min < 5 THEN 'Fisher' ELSE 'Chi-sq' END"
 ORACLE["expected_cells"] = with_views(
@@ -335,16 +344,28 @@ ORACLE["chi2_yates"] = with_views(
 ORACLE["fisher_exact"] = with_views(
     "orders_view", f"WITH {_CELLS} SELECT flag, round(fisher_p, 6) AS fisher_p FROM fisher"
 )
-ORACLE["flag_prevalence"] = with_views(
-    "orders_view",
-    f"""WITH {_CELLS}, rates AS (SELECT e.*, fisher_p, n11 / r1 * 100.0 AS rate_with_pct, n01 / r0 * 100.0 AS rate_without_pct
-      FROM e JOIN fisher USING (flag) WHERE n11 + n10 > 0),
+
+
+def _prevalence(cells: str, source: str) -> str:
+    return f"""WITH {cells}, every AS (SELECT flag, count(*) FILTER (v = 1) AS flagged FROM long GROUP BY flag),
+    total AS (SELECT CAST(count(*) AS DOUBLE) AS records, CAST(sum({_Y}) AS DOUBLE) AS positives FROM {source}),
+    rates AS (SELECT e.*, flagged, fisher_p, n11 / r1 * 100.0 AS rate_with_pct, n01 / r0 * 100.0 AS rate_without_pct
+      FROM e JOIN fisher USING (flag) JOIN every USING (flag) WHERE flagged > 0),
     tested AS MATERIALIZED (SELECT *, {_TEST} AS test,
       CASE WHEN expected_min < 5 THEN fisher_p ELSE 2 * {normal_upper('sqrt(chi2)')} END AS p FROM rates)
-    SELECT flag, n11 + n10 AS flagged, r1 / n * 100.0 AS prevalence_pct, c1 / n * 100.0 AS base_rate_pct,
+    SELECT flag, flagged, flagged / records * 100.0 AS prevalence_pct, positives / records * 100.0 AS base_rate_pct,
       rate_without_pct, rate_with_pct, rate_with_pct - rate_without_pct AS difference_pp,
       CASE WHEN rate_without_pct > 0 THEN rate_with_pct / rate_without_pct ELSE 'inf'::DOUBLE END AS relative_risk,
-      round(p, 6) AS p_value, {stars('p')} AS sig, test FROM tested""",
+      round(p, 6) AS p_value, {stars('p')} AS sig, test FROM tested, total"""
+
+
+ORACLE["flag_prevalence"] = with_views("orders_view", _prevalence(_CELLS, "orders_view"))
+_RULE_FLAGS = """fp AS MATERIALIZED (SELECT *,
+  CASE WHEN description LIKE '%password%' OR description LIKE '%@%' THEN 1 ELSE 0 END AS flag1_sensitive_info,
+  CASE WHEN qcew_avg_annual_pay < 200 AND location IS NOT NULL THEN 1 ELSE 0 END AS flag7_vague_info FROM postings)"""
+ORACLE["flag_prevalence_partial"] = with_views(
+    "postings",
+    _prevalence(f"{_RULE_FLAGS}, {_cells('fp', 'job_id', ['flag1_sensitive_info', 'flag7_vague_info'])}", "fp"),
 )
 ORACLE["sig_stars"] = f"SELECT {stars('l_discount / 9.0')} AS sig, count(*) AS n FROM lineitem GROUP BY 1"
 _AGREE = f"""SELECT CAST({TOTAL} AS BIGINT) AS total_flags, count(*) AS records,
@@ -496,7 +517,7 @@ ORACLE["results_wide"] = with_views(
     "SELECT random_state, "
     + ", ".join(
         f"max(CASE WHEN model = '{m}' AND grp = '{g}' THEN {k} END) AS {m}_{g}_{k}"
-        for m in ("lr", "rf") for g in ("base", "single_pass") for k in fixed.METRICS
+        for m in RESULT_MODELS for g in RESULT_GROUPS for k in fixed.METRICS
     )
     + " FROM results GROUP BY 1",
 )
@@ -594,9 +615,7 @@ ORACLE["fill_stratified"] = with_views(
     f"""WITH {_GREEDY}, {fill_ctes('orders_view', 'o_orderkey', _LAST)}
     SELECT o_orderkey, {_Y} FROM orders_view WHERE o_orderkey IN (SELECT k FROM filled)""",
 )
-_POSTING_SAMPLE = f"""fp AS MATERIALIZED (SELECT *,
-  CASE WHEN description LIKE '%password%' OR description LIKE '%@%' THEN 1 ELSE 0 END AS flag1_sensitive_info,
-  CASE WHEN qcew_avg_annual_pay < 200 AND location IS NOT NULL THEN 1 ELSE 0 END AS flag7_vague_info FROM postings),
+_POSTING_SAMPLE = f"""{_RULE_FLAGS},
   {greedy_ctes('fp', 'job_id', ['flag1_sensitive_info', 'flag7_vague_info'])}, {fill_ctes('fp', 'job_id', 'sel2')},
   sample AS (SELECT *, CAST(row_number() OVER (ORDER BY job_id) AS INT) AS sample_id FROM fp WHERE job_id IN (SELECT k FROM filled))"""
 ORACLE["review_sheet"] = with_views(

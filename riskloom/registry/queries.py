@@ -30,6 +30,8 @@ RULES = {
     "open_urgent": ("o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'", None),
     "many_lines": ("line_count >= 6", "max_quantity < 40 OR returned = 0"),
 }
+RESULT_MODELS = ["lr", "rf", "bert_mlp"]
+RESULT_GROUPS = ["base", "single_pass", "multi_agent_all", "multi_agent_lc", "multi_agent_cc"]
 STOP_WORDS = ["the", "and", "of", "to", "in", "is", "for", "la", "de", "der", "und", "que", "les"]
 
 
@@ -52,16 +54,12 @@ def rounded(df: DataFrame, *names: str, digits: int = SIX) -> DataFrame:
 
 @query
 def coerce_flags(v: Views) -> DataFrame:
-    return clean.coerce_flags(v.orders_raw()).select(
-        ORDER, "flag1_sensitive_info", "flag7_vague_info"
-    )
+    return clean.coerce_flags(v.orders_raw()).select(ORDER, *fixed.FLAGS)
 
 
 @query
 def coerce_scores(v: Views) -> DataFrame:
-    return clean.coerce_scores(v.orders_raw()).select(
-        ORDER, "risk_score_all", "single_pass_risk_score"
-    )
+    return clean.coerce_scores(v.orders_raw()).select(ORDER, *fixed.SCORES)
 
 
 @query
@@ -403,14 +401,13 @@ def average_precision_continuous(v: Views) -> DataFrame:
 
 @query
 def results_wide(v: Views) -> DataFrame:
-    names = results.result_names(["lr", "rf"], ["base", "single_pass"])
+    names = results.result_names(RESULT_MODELS, RESULT_GROUPS)
     return results.results_wide(v.results(), names)
 
 
 @query
 def results_long(v: Views) -> DataFrame:
-    groups = ["base", "single_pass", "multi_agent_all", "multi_agent_lc", "multi_agent_cc"]
-    names = results.result_names(["lr", "rf", "bert_mlp"], groups)
+    names = results.result_names(RESULT_MODELS, RESULT_GROUPS)
     long = results.results_long(results.results_wide(v.results(), names))
     return long.where(F.col("value").isNotNull())
 
@@ -475,17 +472,27 @@ def fill_stratified(v: Views) -> DataFrame:
     return coverage.coverage_sample(v.orders(), ORDER, seed=42).select(ORDER, fixed.LABEL)
 
 
-def _posting_sample(v: Views) -> DataFrame:
-    """A coverage sample of the records with two text-rule flags."""
-    flagged = scoring.apply_flag_rules(
+def _flagged_postings(v: Views) -> DataFrame:
+    """The records with two text-rule flags."""
+    return scoring.apply_flag_rules(
         v.postings(),
         {
             "flag1_sensitive_info": ("description LIKE '%password%' OR description LIKE '%@%'", None),
             "flag7_vague_info": ("qcew_avg_annual_pay < 200", "location IS NULL"),
         },
     )
+
+
+@query
+def flag_prevalence_partial(v: Views) -> DataFrame:
+    """Prevalence where most records have no label."""
+    return rounded(flag_stats.flag_prevalence(_flagged_postings(v)), "p_value")
+
+
+def _posting_sample(v: Views) -> DataFrame:
+    """A coverage sample of the records with two text-rule flags."""
     return coverage.assign_sample_id(
-        coverage.coverage_sample(flagged, fixed.KEY), fixed.KEY
+        coverage.coverage_sample(_flagged_postings(v), fixed.KEY), fixed.KEY
     )
 
 

@@ -65,12 +65,9 @@ def read_postings(
 def read_csv_fallback(spark: SparkSession, path: str) -> DataFrame:
     """UTF-8, or Latin-1 when the file is not valid UTF-8.
 
-    Spark puts U+FFFD where bytes cannot be decoded, so that sign is looked
-    for; the search stops at the first hit.
+    The bytes decide: a valid file may hold U+FFFD. The search stops at the
+    first line that cannot be decoded.
     """
-    df = read_text_csv(spark, path)
-    broken = F.lit(False)
-    for name in df.columns:
-        broken = broken | F.coalesce(F.contains(F.col(f"`{name}`"), F.lit("�")), F.lit(False))
-    damaged = any("�" in name for name in df.columns) or bool(df.where(broken).take(1))
-    return read_text_csv(spark, path, "ISO-8859-1") if damaged else df
+    lines = spark.read.text(path)
+    damaged = bool(lines.where(~F.is_valid_utf8("value")).take(1))
+    return read_text_csv(spark, path, "ISO-8859-1" if damaged else "UTF-8")

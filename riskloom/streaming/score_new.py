@@ -27,11 +27,16 @@ def score_arriving(
 
     Each micro-batch overwrites its own `batch_id` folder, so a batch repeated
     after a failure leaves the same rows. Keys scored by earlier batches are
-    left out, and a key occurring twice in a batch is scored once.
+    left out. Of rows with the same key in a batch the one with the smallest
+    digest is scored, so a repeated batch chooses the same.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([key])
+        row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+        fresh = (
+            batch.groupBy(key).agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("_row"))
+            .select("_row.*")
+        )
         done = _scored_before(spark, target, key, batch_id)
         if done is not None:
             fresh = unscored(fresh, done, key)

@@ -25,7 +25,6 @@ def test_split_points_and_positions_match_a_sort(spark, monkeypatch):
 
 def test_keys_at(spark, monkeypatch):
     monkeypatch.setattr(ordering, "SAMPLE_PER_RANGE", 1)
-    monkeypatch.setattr(ordering, "RANGES", 2)
     df = spark.range(100, 1100).withColumnRenamed("id", "k")
     assert ordering.keys_at(df, "k", [0, 499, 999, 1000]) == [100, 599, 1099, None]
 
@@ -107,8 +106,19 @@ def test_infinite_relative_risk_and_unset_flags(spark):
     rows = flag_stats.flag_prevalence(df, ["a", "b", "absent"], "y").collect()
     assert [r["flag"] for r in rows] == ["a"]
     assert math.isinf(rows[0]["relative_risk"]) and rows[0]["test"] == "Fisher"
-    always = spark.createDataFrame([(1, 1), (1, 0)], "a int, y int")
-    assert math.isinf(flag_stats.flag_prevalence(always, ["a"], "y").first()["relative_risk"])
+    always = spark.createDataFrame([(1, 1), (1, 0)] * 10, "a int, y int")
+    row = flag_stats.flag_prevalence(always, ["a"], "y").first()
+    assert math.isinf(row["relative_risk"]) and (row["test"], row["p_value"]) == ("Chi-sq", 1.0)
+
+
+def test_unlabelled_records_are_no_negatives(spark):
+    rows = [(1, 1), (1, 0), (1, None), (0, 0), (0, 1), (0, 0), (0, None), (None, None)]
+    df = spark.createDataFrame(rows, "a int, y int")
+    cells = flag_stats.contingency(df, ["a"], "y").first()
+    assert (cells["n11"], cells["n10"], cells["n01"], cells["n00"]) == (1, 1, 1, 2)
+    row = flag_stats.flag_prevalence(df, ["a"], "y").first()
+    assert row["flagged"] == 3 and row["prevalence_pct"] == 37.5 and row["base_rate_pct"] == 25.0
+    assert row["rate_with_pct"] == 50.0 and row["rate_without_pct"] == pytest.approx(100 / 3)
 
 
 def test_p_values():

@@ -28,6 +28,12 @@ def test_encoding_fallback(spark, tmp_path, encoding):
     assert postings.read_csv_fallback(spark, str(tmp_path / "s.csv")).first()["note"] == "café"
 
 
+def test_valid_utf8_may_hold_the_replacement_sign(spark, tmp_path):
+    (tmp_path / "s.csv").write_bytes("sample_id,note\n1,caf\xe9\n2,\ufffd\n".encode())
+    rows = postings.read_csv_fallback(spark, str(tmp_path / "s.csv")).collect()
+    assert [r["note"] for r in rows] == ["caf\xe9", "\ufffd"]
+
+
 def long_results(spark):
     rows = [
         (seed, model, grp, metric, 0.5 + seed / 100 + 0.1 * (grp == "single_pass"))
@@ -121,6 +127,20 @@ def test_arriving_files_are_scored_once(spark, tmp_path):
     assert catch_up() == {1: 10, 2: 0, 3: 10}
 
 
+def test_a_repeated_batch_scores_the_same_rows(spark, tmp_path):
+    """Of rows with one key the choice does not depend on their order."""
+    rows = [(k, x) for k in range(5) for x in range(20)]
+    chosen = []
+    for run, order in enumerate((rows, rows[::-1])):
+        source = str(tmp_path / f"in{run}")
+        spark.createDataFrame(order, "k int, x int").repartition(1 + 3 * run).write.parquet(source)
+        schema = spark.read.parquet(source).schema
+        target = str(tmp_path / f"out{run}")
+        score_arriving(spark, source, schema, "k", lambda d: d, target, str(tmp_path / f"c{run}")).awaitTermination()
+        chosen.append(sorted((r.k, r.x) for r in spark.read.parquet(target).collect()))
+    assert chosen[0] == chosen[1] and len(chosen[0]) == 5
+
+
 def flagged(spark, rows):
     return spark.createDataFrame(rows, "k bigint, a int, b int, fraudulent_agent int")
 

@@ -91,7 +91,7 @@ def _shown_ngrams(representatives: DataFrame, width: int) -> DataFrame:
     """id, n, ngram for the shown n-grams."""
 
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in store.pieces(batches):
             sets = [ngram_set(t, width) for t in batch["text"]]
             parts = [s[: shown(len(s))] for s in sets]
             counts = [len(p) for p in parts]
@@ -204,8 +204,11 @@ def _links(representatives: DataFrame, tasks: DataFrame, width: int, percent: in
     texts = representatives.join(store.few(tasks), "id")
 
     def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"task": batch["task"], "id": batch["id"], "ngrams": [ngram_set(t, width).view(np.int64) for t in batch["text"]]})
+        for batch in store.pieces(batches):
+            yield pd.DataFrame({
+                "task": batch["task"].to_numpy(), "id": batch["id"].to_numpy(),
+                "ngrams": [ngram_set(t, width).view(np.int64) for t in batch["text"]],
+            })
 
     def product(batch: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(s, np.int64).view(np.uint64) for s in batch["ngrams"]]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Rows of at most this many are broadcast; more are joined by a shuffle.
@@ -37,6 +39,13 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def pieces(batches: Iterable[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Batches in slices of a few rows, so that what a task makes of them stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """Only the given columns, under the operator's own names, whatever else the table has."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

@@ -102,7 +102,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the smallest id of each. Written to the shared folder."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in store.pieces(batches):
             ids, digests = [], []
             for i, text in zip(batch["id"], batch["text"]):
                 units = Units(text)
@@ -130,7 +130,7 @@ def repeated_passages(
     known = repeated_units(docs, id_col, text_col)
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in store.pieces(batches):
             out = []
             for i, text, repeated in zip(batch["id"], batch["text"], batch["units"]):
                 units = Units(text)

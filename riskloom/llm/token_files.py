@@ -200,16 +200,14 @@ def write_tokens(
                 "ids": [np.array(ids, "<i8").tobytes()], "ends": [counts.astype("<i8").tobytes()], "levels": [encode_levels(flat)],
             })
 
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                piece = batch.iloc[at : at + 256]
-                for i, encoded in zip(piece["key"], encoder(tokenizer).encode(piece["text"].tolist())):
-                    ids.append(i)
-                    tokens.append(np.concatenate([encoded, end]))
-                    size += len(tokens[-1])
-                    if size >= segment_tokens:
-                        yield segment()
-                        ids, tokens, size, number = [], [], 0, number + 1
+        for piece in store.pieces(batches):
+            for i, encoded in zip(piece["key"], encoder(tokenizer).encode(piece["text"].tolist())):
+                ids.append(i)
+                tokens.append(np.concatenate([encoded, end]))
+                size += len(tokens[-1])
+                if size >= segment_tokens:
+                    yield segment()
+                    ids, tokens, size, number = [], [], 0, number + 1
         if ids:
             yield segment()
 

@@ -792,10 +792,14 @@ ORACLE["feature_vectors"] = with_views(
       round(COALESCE((SELECT sum(weight) FROM tfidf t WHERE t.job_id = lab.job_id), 0) + num.s + bo.s + (SELECT count(*) FROM onehot o WHERE o.job_id = lab.job_id), 4) AS total
     FROM lab JOIN num USING (job_id) JOIN bo USING (job_id)""",
 )
+ORACLE["embed_text"] = """
+SELECT doc_id AS job_id, CAST(64 AS BIGINT) AS width,
+  round(CAST(CAST(length(text) / CAST(1000 AS DOUBLE) AS FLOAT) AS DOUBLE), 6) AS first FROM documents"""
 ORACLE["embedding_features"] = """
-SELECT vec_id, d.source AS department, CAST(len(embedding) AS BIGINT) AS width,
-  round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS square
-FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id"""
+SELECT d.doc_id AS vec_id, d.source AS department, CAST(COALESCE(len(embedding), 64) AS BIGINT) AS width,
+  round(COALESCE(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))),
+    pow(CAST(CAST(length(text) / CAST(1000 AS DOUBLE) AS FLOAT) AS DOUBLE), 2)), 6) AS square
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"""
 _PRESENT = ["salary_lower", "salary_upper", "single_pass_risk_score", "risk_score_all"]
 ORACLE["feature_groups"] = with_views(
     "postings",
@@ -839,3 +843,52 @@ SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, false AS is_synthetic, co
   round(sum(list_sum(CAST(embedding AS DOUBLE[]))), 4) AS total FROM embeddings GROUP BY 1
 UNION ALL SELECT 1, true, count(*), round(sum(list_sum(x.e) + u * (list_sum(y.e) - list_sum(x.e))), 4)
 FROM pairs JOIN vx x ON x.vec_id = base JOIN vx y ON y.vec_id = neighbor"""
+
+# --- models: facts that SQL can derive without fitting ------------------------
+
+_SPLIT = """vx AS (SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM embeddings),
+sizes AS (SELECT y, count(*) AS n FROM vx GROUP BY y),
+quota AS (SELECT y, n, ceil(CAST(0.2 AS DOUBLE) * sum(n) OVER ()) AS wanted, ceil(CAST(0.2 AS DOUBLE) * sum(n) OVER ()) * n / sum(n) OVER () AS exact FROM sizes),
+placed AS (SELECT *, row_number() OVER (ORDER BY floor(exact) - exact, y) AS r, wanted - sum(floor(exact)) OVER () AS rest FROM quota),
+parts AS (SELECT y, n, floor(exact) + CASE WHEN r <= rest THEN 1 ELSE 0 END AS test FROM placed)"""
+
+
+def _model_facts(*more: str) -> str:
+    """Sizes from the quotas of the split; over-sampling makes both classes as large as the larger."""
+    ones = [*[f"{m}_in_range" for m in fixed.METRICS], *more]
+    return (
+        f"WITH {_SPLIT} SELECT 'width' AS property, CAST(max(len(embedding)) AS DOUBLE) AS value FROM embeddings"
+        " UNION ALL SELECT 'test_' || y, CAST(test AS DOUBLE) FROM parts"
+        " UNION ALL SELECT 'train_' || y, CAST(max(n - test) OVER () AS DOUBLE) FROM parts"
+        + "".join(f" UNION ALL SELECT '{name}', CAST(1 AS DOUBLE)" for name in ones)
+    )
+
+
+for _name in ("model_enlr", "model_rf", "model_gbt", "model_mlp"):
+    ORACLE[_name] = _model_facts()
+ORACLE["model_lr"] = _model_facts("gradient_vanishes")
+
+
+def _grid(seeds: list[int], learners: list[str], groups: list[str]) -> str:
+    """Every combination of the grid whose columns exist has all its metrics."""
+    return (
+        f"SELECT CAST(s AS BIGINT) AS random_state, m AS model, g AS grp, k AS metric, true AS in_range "
+        f"FROM (SELECT unnest({seeds}) AS s), (SELECT unnest({learners}) AS m), (SELECT unnest({groups}) AS g), "
+        f"(SELECT unnest({list(fixed.METRICS)}) AS k) WHERE (SELECT count(DISTINCT toxic) FROM labels) = 2"
+    )
+
+
+ORACLE["model_embedding_mlp"] = _grid([1], ["bert_mlp"], ["base"])
+ORACLE["evaluate_grid"] = _grid([1, 2], ["lr"], ["base", "single_pass"])
+
+# --- helpers ------------------------------------------------------------------
+
+ORACLE["normalize_target"] = with_views("postings", f"SELECT job_id, {_Y} FROM postings")
+ORACLE["ensure_columns"] = with_views(
+    "postings", "SELECT job_id, title, CAST(NULL AS VARCHAR) AS posting_text, CAST(NULL AS DOUBLE) AS extra_score FROM postings"
+)
+ORACLE["keep_columns"] = with_views("postings", "SELECT job_id, location, title FROM postings")
+ORACLE["missing_columns"] = with_views(
+    "postings", "SELECT unnest(['absent', 'nowhere']) AS name, records FROM (SELECT count(*) AS records FROM postings)"
+)
+ORACLE["union_results"] = with_views("results", f"WITH {_LONG} SELECT * FROM rl")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskloom import fixed
 from riskloom.functions.columns import significance_stars
 from riskloom.functions.layout import spread
+from riskloom.functions.lineage import cut
 from riskloom.functions.pvalues import chi2_1dof_p
 from riskloom.operators import (
     agreement, balance, clean, coverage, features, flag_stats, models, paired, rank_stats,
@@ -24,6 +25,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # Display digits for columns whose last bits depend on summation order.
 SIX = 6
+# Largest part of the gradient at which a logistic fit counts as converged.
+GRADIENT = 0.01
 
 RULES = {
     "big_total": ("o_totalprice > 300000", "o_orderpriority = '5-LOW'"),
@@ -62,6 +65,42 @@ def coerce_scores(v: Views) -> DataFrame:
     return clean.coerce_scores(v.orders_raw()).select(ORDER, *fixed.SCORES)
 
 
+@query
+def normalize_target(v: Views) -> DataFrame:
+    """The label under its one name, whichever of the two the table has."""
+    other = v.postings().withColumnRenamed(fixed.LABEL, fixed.LABEL_ALIAS)
+    return clean.normalize_target(other).select(fixed.KEY, fixed.LABEL)
+
+
+@query
+def ensure_columns(v: Views) -> DataFrame:
+    """Present columns as they are, absent ones as typed nulls."""
+    wanted = {"title": "string", "posting_text": "string", "extra_score": "double"}
+    return clean.ensure_columns(v.postings().select(fixed.KEY, "title"), wanted)
+
+
+@query
+def keep_columns(v: Views) -> DataFrame:
+    return clean.keep_columns(v.postings(), [fixed.KEY, "absent", "location", "title"])
+
+
+@query
+def missing_columns(v: Views) -> DataFrame:
+    """The missing names, each beside the number of records."""
+    rows = v.postings()
+    names = clean.missing_columns(rows, [fixed.KEY, "absent", "title", "nowhere"])
+    return rows.agg(F.count(F.lit(1)).alias("records")).select(
+        F.explode(F.array(*[F.lit(n) for n in names])).alias("name"), "records"
+    )
+
+
+@query
+def union_results(v: Views) -> DataFrame:
+    """Results of three models put back together."""
+    long = v.results()
+    return paired.union_results([long.where(F.col("model") == m) for m in RESULT_MODELS])
+
+
 @query
 def render_posting(v: Views) -> DataFrame:
     return clean.render_posting(v.postings(), fixed.KEY)
@@ -707,11 +746,34 @@ def feature_vectors(v: Views) -> DataFrame:
     )
 
 
+def length_encoder(texts: list[str]) -> list[list[float]]:
+    """A plain encoder for records without a cached vector: length in thousands, then zeros."""
+    return [[len(t) / 1000.0] + [0.0] * 63 for t in texts]
+
+
+@query
+def embed_text(v: Views) -> DataFrame:
+    """Every record encoded."""
+    embedded = features.embed_text(v.postings(), fixed.KEY, F.col("description"), length_encoder)
+    return embedded.select(
+        fixed.KEY, F.size("embedding").cast("bigint").alias("width"),
+        F.round(F.col("embedding")[0].cast("double"), SIX).alias("first"),
+    )
+
+
+def _all_vectors(v: Views, key: str) -> DataFrame:
+    """(key, embedding): the cached vector of a record, or else its encoded text."""
+    cached = v.vectors().select(F.col("vec_id").alias(key), "embedding")
+    records = v.postings().select(F.col(fixed.KEY).alias(key), "description")
+    rest = records.join(cached, key, "left_anti")
+    return cached.unionByName(features.embed_text(rest, key, F.col("description"), length_encoder))
+
+
 @query
 def embedding_features(v: Views) -> DataFrame:
-    """Cached vectors joined to records by key."""
+    """Vectors joined to all records by key."""
     records = v.postings().select(F.col(fixed.KEY).alias("vec_id"), "department")
-    joined = features.embedding_features(records, v.vectors(), "vec_id")
+    joined = features.embedding_features(records, _all_vectors(v, "vec_id"), "vec_id")
     values = vector_to_array(F.col("text_vec"))
     return joined.select(
         "vec_id", "department",
@@ -773,18 +835,27 @@ def smote_rows(v: Views) -> DataFrame:
 
 
 def _fit_vectors(v: Views, learner, **options) -> DataFrame:
-    """Split, over-sample, fit and measure one learner on all vectors."""
+    """Split, over-sample, fit and measure one learner on all vectors.
+
+    Rows: sizes of the parts, the width, and 1 for each metric that lies in
+    0..1 (values differ between versions of a learner). Logistic regression
+    without L1 also shows 1 when the penalised gradient vanishes at its weights.
+    """
     rows = v.vectors().select(
         "vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
     marked = splits.stratified_split(rows, "vec_id", "label", 0.2, seed=1)
-    model = models.fit_balanced(
-        marked.where(~F.col("is_test")), "vec_id", "label", learner, seed=1, **options
-    )
-    measured = models.model_metrics(models.scored(model, marked.where("is_test"), "vec_id", "label"))
-    return v.spark.createDataFrame(
-        [(m, float(x)) for m, x in measured.items()], "metric string, value double"
-    )
+    train, test = marked.where(~F.col("is_test")), marked.where("is_test")
+    balanced = cut(models.balanced(train, "vec_id", "label", seed=1))
+    model = models.fit_rows(balanced, learner, 1, **options)
+    out = [("width", float(len(balanced.first()["features"])))]
+    for part, table in (("train", balanced), ("test", test)):
+        out += [(f"{part}_{int(r['label'])}", float(r["count"])) for r in table.groupBy("label").count().collect()]
+    measured = models.model_metrics(models.scored(model, test, "vec_id", "label"))
+    out += [(f"{m}_in_range", float(0.0 <= x <= 1.0)) for m, x in measured.items()]
+    if learner is models.lr:
+        out.append(("gradient_vanishes", float(models.penalised_gradient(model, balanced) < GRADIENT)))
+    return v.spark.createDataFrame(out, "property string, value double")
 
 
 @query
@@ -812,23 +883,25 @@ def model_mlp(v: Views) -> DataFrame:
     return _fit_vectors(v, models.mlp)
 
 
+def _in_range(results: DataFrame) -> DataFrame:
+    """Every result of a grid, with whether it lies in 0..1."""
+    return results.select("random_state", "model", "grp", "metric", F.col("value").between(0, 1).alias("in_range"))
+
+
 @query
 def model_embedding_mlp(v: Views) -> DataFrame:
     """Embeddings in place of text, beside numbers, booleans and categories."""
-    rows = _modelling_rows(v).join(
-        v.vectors().select(F.col("vec_id").alias(fixed.KEY)), fixed.KEY, "left_semi"
-    )
-    vectors = v.vectors().select(F.col("vec_id").alias(fixed.KEY), "embedding")
-    return models.evaluate_grid(
-        rows, fixed.KEY, fixed.LABEL, [1], ["bert_mlp"],
-        {"base": fixed.FEATURE_GROUPS["base"]}, embeddings=vectors,
+    found = models.evaluate_grid(
+        _modelling_rows(v), fixed.KEY, fixed.LABEL, [1], ["bert_mlp"],
+        {"base": fixed.FEATURE_GROUPS["base"]}, embeddings=_all_vectors(v, fixed.KEY),
     )
+    return _in_range(found)
 
 
 @query
 def evaluate_grid(v: Views) -> DataFrame:
     """Two seeds, one learner, two feature groups."""
     groups = {g: fixed.FEATURE_GROUPS[g] for g in ("base", "single_pass")}
-    return models.evaluate_grid(
+    return _in_range(models.evaluate_grid(
         _modelling_rows(v), fixed.KEY, fixed.LABEL, [1, 2], ["lr"], groups
-    )
+    ))

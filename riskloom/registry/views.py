@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom import fixed
+
 ORDERS_BASE = """
 SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_orderpriority, o.o_totalprice,
        CASE WHEN o.o_orderstatus = 'F' AND o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS fraudulent_agent,
@@ -44,15 +46,33 @@ SELECT f.*,
 FROM ({flags}) f
 """.replace("{flags}", ORDERS_FLAGS.replace("{base}", ORDERS_BASE))
 
-ORDERS_RAW = """
-SELECT o_orderkey, fraudulent_agent,
-  CASE o_orderkey % 5 WHEN 0 THEN CAST(flag1_sensitive_info AS VARCHAR(9)) WHEN 1 THEN CAST(flag1_sensitive_info AS VARCHAR(9)) || '.0'
-       WHEN 2 THEN ' ' || CAST(flag1_sensitive_info AS VARCHAR(9)) || ' ' WHEN 3 THEN 'x' END AS flag1_sensitive_info,
-  CASE o_orderkey % 4 WHEN 0 THEN CAST(flag7_vague_info AS VARCHAR(9)) WHEN 1 THEN 'nan' WHEN 2 THEN CAST(flag7_vague_info AS VARCHAR(9)) || '.0' END AS flag7_vague_info,
-  CASE o_orderkey % 3 WHEN 0 THEN CAST(risk_score_all AS VARCHAR(9)) WHEN 1 THEN CAST(risk_score_all AS VARCHAR(9)) || '.5' ELSE 'n/a' END AS risk_score_all,
-  CASE o_orderkey % 4 WHEN 0 THEN CAST(single_pass_risk_score AS VARCHAR(9)) WHEN 1 THEN 'nan' WHEN 2 THEN '' ELSE CAST(single_pass_risk_score AS VARCHAR(9)) || '.0' END AS single_pass_risk_score
-FROM {orders_view}
-"""
+def _raw_flag(flag: str, i: int) -> str:
+    """A flag as text in several spellings, by key."""
+    text = f"CAST({flag} AS VARCHAR(9))"
+    if flag == "flag7_vague_info":
+        return f"CASE o_orderkey % 4 WHEN 0 THEN {text} WHEN 1 THEN 'nan' WHEN 2 THEN {text} || '.0' END AS {flag}"
+    return (
+        f"CASE (o_orderkey + {i}) % 5 WHEN 0 THEN {text} WHEN 1 THEN {text} || '.0' "
+        f"WHEN 2 THEN ' ' || {text} || ' ' WHEN 3 THEN 'x' END AS {flag}"
+    )
+
+
+def _raw_score(score: str, i: int) -> str:
+    """A score as text in several spellings, by key."""
+    text = f"CAST({score} AS VARCHAR(9))"
+    if score == "single_pass_risk_score":
+        return f"CASE o_orderkey % 4 WHEN 0 THEN {text} WHEN 1 THEN 'nan' WHEN 2 THEN '' ELSE {text} || '.0' END AS {score}"
+    return f"CASE (o_orderkey + {i}) % 3 WHEN 0 THEN {text} WHEN 1 THEN {text} || '.5' ELSE 'n/a' END AS {score}"
+
+
+ORDERS_RAW = (
+    "SELECT o_orderkey, fraudulent_agent,\n  "
+    + ",\n  ".join([
+        *[_raw_flag(f, i) for i, f in enumerate(fixed.FLAGS)],
+        *[_raw_score(s, i) for i, s in enumerate(fixed.SCORES)],
+    ])
+    + "\nFROM {orders_view}"
+)
 
 POSTINGS_VIEW = """
 SELECT d.doc_id AS job_id,
@@ -117,21 +137,10 @@ REVIEW_VIEW = (
   CASE WHEN (o_orderkey + {i}) % 29 = 0 THEN NULL WHEN (o_orderkey + {i}) % 31 = 0 THEN '2'
        WHEN (o_orderkey * 31 + {i} * 17) % 13 = 0 THEN CAST(1 - {flag} AS VARCHAR(9)) || '.0'
        ELSE CAST({flag} AS VARCHAR(9)) END AS manual_{flag}"""
-        for i, flag in enumerate(
-            [
-                "flag1_sensitive_info", "flag2_unrealistic_comp", "flag3_pressure_tactics",
-                "flag4_anon_employer", "flag5_req_role_mismatch", "flag6_info_conflict",
-                "flag7_vague_info", "flag8_promo_template",
-            ],
-            start=1,
-        )
+        for i, flag in enumerate(fixed.FLAGS, start=1)
     )
     + "\nFROM {orders_view}\nUNION ALL SELECT 'Total'"
-    + "".join(f", CAST(SUM({f}) AS VARCHAR(20))" for f in (
-        "flag1_sensitive_info", "flag2_unrealistic_comp", "flag3_pressure_tactics",
-        "flag4_anon_employer", "flag5_req_role_mismatch", "flag6_info_conflict",
-        "flag7_vague_info", "flag8_promo_template",
-    ))
+    + "".join(f", CAST(SUM({f}) AS VARCHAR(20))" for f in fixed.FLAGS)
     + " FROM {orders_view}"
 )
 

@@ -211,4 +211,4 @@ def with_score(docs: DataFrame, model: QualityModel | None, text_col: str = "tex
         for texts in batches:
             yield pd.Series(shared.value.score(texts.tolist()))
 
-    return docs.withColumn(score_col, score(F.col(f"`{text_col}`").cast("string")))
+    return store.bounded_batches(docs).withColumn(score_col, score(F.col(f"`{text_col}`").cast("string")))

@@ -88,7 +88,7 @@ def with_measures(docs: DataFrame, text_col: str = "text", into: str = "measures
         for texts in batches:
             yield pd.DataFrame([measure(t) for t in texts], columns=NAMES)
 
-    return docs.withColumn(into, measured(F.col(f"`{text_col}`").cast("string")))
+    return store.bounded_batches(docs).withColumn(into, measured(F.col(f"`{text_col}`").cast("string")))
 
 
 def votes(prefix: str = "", rules=RULES) -> Column:

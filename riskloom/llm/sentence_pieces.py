@@ -22,6 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from riskloom.llm import store
+
 SPACE = "▁"
 CACHED_WORDS = 800_000
 # Added to the lowest score for a character that no piece covers.
@@ -224,7 +226,7 @@ def with_ids(docs: DataFrame, model: str, text_col: str = "text", into: str = "i
         for texts in batches:
             yield pd.Series([codec(model).encode(t).view(np.int32) for t in texts], dtype=object)
 
-    return docs.withColumn(into, encode(F.col(f"`{text_col}`").cast("string")))
+    return store.bounded_batches(docs).withColumn(into, encode(F.col(f"`{text_col}`").cast("string")))
 
 
 def with_text(encoded: DataFrame, model: str, ids_col: str = "ids", into: str = "text") -> DataFrame:
@@ -238,7 +240,7 @@ def with_text(encoded: DataFrame, model: str, ids_col: str = "ids", into: str =
         for rows in batches:
             yield pd.Series([None if r is None else codec(model).decode(r) for r in rows], dtype=object)
 
-    return encoded.withColumn(into, decode(F.col(f"`{ids_col}`")))
+    return store.bounded_batches(encoded).withColumn(into, decode(F.col(f"`{ids_col}`")))
 
 
 def with_round_trip(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
@@ -254,4 +256,4 @@ def with_round_trip(docs: DataFrame, model: str, text_col: str = "text") -> Data
                 out.append((len(ids), zlib.crc32(ids.tobytes()), codec(model).decode(ids) == (text or "")))
             yield pd.DataFrame(out, columns=["n_ids", "ids_crc32", "whole"])
 
-    return docs.withColumn("trip", trip(F.col(f"`{text_col}`").cast("string")))
+    return store.bounded_batches(docs).withColumn("trip", trip(F.col(f"`{text_col}`").cast("string")))

@@ -39,6 +39,21 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+_BATCH_BYTES, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """The table, after bounding the bytes of a batch of rows that goes to Python.
+
+    Spark's 64 MB of text become several times as much in each worker. A bound
+    that the session sets itself is kept.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES) == _SPARK_DEFAULT:
+        conf.set(_BATCH_BYTES, str(most))
+    return df
+
+
 def pieces(batches: Iterable[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
     """Batches in slices of a few rows, so that what a task makes of them stays small."""
     for batch in batches:
@@ -48,7 +63,7 @@ def pieces(batches: Iterable[pd.DataFrame], rows: int = 256) -> Iterator[pd.Data
 
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """Only the given columns, under the operator's own names, whatever else the table has."""
-    return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+    return bounded_batches(df).select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
 def crc_remainder(column: Column, divisor: int) -> Column:

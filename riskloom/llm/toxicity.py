@@ -211,4 +211,4 @@ def with_score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "te
         for texts in batches:
             yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn(score_col, score(F.col(f"`{text_col}`").cast("string")))
+    return store.bounded_batches(docs).withColumn(score_col, score(F.col(f"`{text_col}`").cast("string")))

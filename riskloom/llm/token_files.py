@@ -13,8 +13,10 @@ binary columns of Parquet, so any store Spark writes to will do.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,12 +25,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskloom.llm import store
+from riskloom.llm.memo import Memo
 
 CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
-CACHED_WORDS = 600_000
-_MARKS = ".,!?;:*%$#&|"
+CACHED_PIECES = 250_000
+LONGEST_CACHED = 64
+# A letter of Western alphabets with marks behind it. The file never joins them.
+_MARKS_IN_A_ROW = re.compile(r"[^a-zß-öø-ÿ0-9\s][.,](?=[ \n])")
+_MARKS_BEHIND = re.compile(r"(?<=[a-zß-öø-ÿ])([.,!?;:*%$#&|]+)")
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 SEGMENT = "part int, segment int, n_docs int, n_tokens long, ids binary, ends binary, levels array<struct<chunks: binary, more: binary, ranks: binary>>"
 
@@ -94,11 +100,10 @@ class Levels:
 class WordEncoder:
     """Ids of whole texts by a tokenizers file whose words never cross white space.
 
-    Texts are cut at spaces and line ends; the ids of a piece are remembered in a
-    cache of bounded size. A piece of letters with marks behind it is put together
-    from both. Texts for which this may differ from the library (other than
-    composed form, letters whose lower case depends on their place, special tokens)
-    go to the library whole.
+    Texts are cut at spaces, line ends and between a letter and the marks behind it,
+    where the file cuts them too; the ids of a piece are remembered. Texts for which
+    this may differ from the library (other than composed form, letters whose lower
+    case depends on their place, special tokens) go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -106,54 +111,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.openings = {s[:2].lower() for s in self.specials}
+        self.memo = Memo(CACHED_PIECES)
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.openings = {s[:2].lower() for s in specials}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, pieces: set[str]) -> None:
-        todo, split = set(), {}
-        for piece in pieces:
-            end = len(piece)
-            while end and not piece[end - 1].isalpha():
-                end -= 1
-            word, marks = piece[:end], piece[end:]
-            if marks and word.isalpha() and marks[0] in _MARKS and marks == marks[0] * len(marks):
-                split[piece] = (word, marks)
-                todo.update(x for x in (word, marks) if x not in self.words)
-            else:
-                todo.add(piece)
-        order = sorted(todo)
-        self.words.update(zip(order, self._library(order)))
-        for piece, (word, marks) in split.items():
-            self.words[piece] = self.words[word] + self.words[marks]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def _pieces(self, text: str) -> list[str] | None:
         """What can be encoded piece by piece; None for a text the library must see whole."""
         low = text.lower()
         if "Σ" in text or "İ" in text or any(s in low for s in self.openings) or not unicodedata.is_normalized("NFC", low):
             return None
+        if _MARKS_IN_A_ROW.search(low):
+            low = _MARKS_BEHIND.sub(r" \1", low)
+        else:
+            low = low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
         return low.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; none for a null."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(texts), 64):
-            part = [(text or "", self._pieces(text or "")) for text in texts[at : at + 64]]
-            needed = [p for _, pieces in part for p in pieces or ()]
-            missing = {p for p in needed if p not in self.words}
-            if len(self.words) + len(missing) > CACHED_WORDS:
-                self.words = {"": b""}
-                missing = set(needed) - {""}
-            if missing:
-                self._learn(missing)
-            known = self.words
-            for text, pieces in part:
-                joined = self._library([text])[0] if pieces is None else b"".join([known[p] for p in pieces])
-                out.append(np.frombuffer(joined, "<u4"))
+        parts = []
+        for text in texts:
+            pieces = self._pieces(text or "")
+            parts.append((text, None, None, []) if pieces is None else (text, pieces, *self.memo.find(pieces)))
+        # The new pieces of all these texts at once.
+        new = sorted({pieces[i] for _, pieces, _, unknown in parts for i in unknown})
+        learnt = dict(zip(new, self._library(new)))
+        for piece, ids in learnt.items():
+            if len(piece) <= LONGEST_CACHED:
+                self.memo.put(piece, ids)
+        out = []
+        for text, pieces, found, unknown in parts:
+            if pieces is None:
+                found = self._library([text])
+            for i in unknown:
+                found[i] = learnt[pieces[i]]
+            out.append(np.frombuffer(b"".join(found), "<u4"))
         return out
 
 

@@ -23,9 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm import store
+from riskloom.llm.memo import Memo
 
 SPACE = "▁"
-CACHED_WORDS = 800_000
+CACHED_WORDS = 150_000
 # Added to the lowest score for a character that no piece covers.
 _UNKNOWN_PENALTY = 10.0
 _NONE = float("-inf")
@@ -143,9 +144,7 @@ class PieceCodec:
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         self.v = Vocabulary(path)
-        self.cached = cached
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # by what stands behind a space
+        self.runs, self.words = Memo(cached), Memo(cached)  # words: by what stands behind a space
         # Whether a space is only ever the beginning of a piece or follows another space.
         self.cut_at_space = all(a == SPACE for a, b in self.v.joins if b == SPACE)
 
@@ -156,15 +155,13 @@ class PieceCodec:
         return [chars[a:b] for a, b in zip([0, *cuts], [*cuts, len(chars)])] if cuts else [chars]
 
     def _fresh(self, chars: str) -> bytes:
-        stream, out = StreamingViterbi(self.v), []
-        for run in self._runs(chars):
-            found = self.runs.get(run)
-            if found is None:
-                found = array("I", stream.feed(run) + stream.close()).tobytes()
-                if len(run) <= 2 * self.v.longest:
-                    self.runs[run] = found
-            out.append(found)
-        return b"".join(out)
+        runs, stream = self._runs(chars), StreamingViterbi(self.v)
+        found, unknown = self.runs.find(runs)
+        for i in unknown:
+            found[i] = array("I", stream.feed(runs[i]) + stream.close()).tobytes()
+            if len(runs[i]) <= 2 * self.v.longest:
+                self.runs.put(runs[i], found[i])
+        return b"".join(found)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text; none for a null or an empty one.
@@ -173,20 +170,16 @@ class PieceCodec:
         """
         if not text:
             return np.zeros(0, np.uint32)
-        if len(self.runs) + len(self.words) > self.cached:
-            self.runs, self.words = {}, {}
         if not self.cut_at_space or "  " in text or text[0] == " " or text[-1] == " ":
             return np.frombuffer(self._fresh((" " + text).replace(" ", SPACE)), "<u4")
         # A space opens every word, and no piece reaches over it from the left.
-        words, known = text.split(" "), self.words
-        new = {w for w in words if w not in known}
-        for word in new:
-            known[word] = self._fresh(SPACE + word)
-        out = np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-        for word in new:
-            if len(word) > 4 * self.v.longest:  # the cache is bounded in size, not only in number
-                del known[word]
-        return out
+        words = text.split(" ")
+        found, unknown = self.words.find(words)
+        for i in unknown:
+            found[i] = self._fresh(SPACE + words[i])
+            if len(words[i]) <= 2 * self.v.longest:
+                self.words.put(words[i], found[i])
+        return np.frombuffer(b"".join(found), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces side by side, bytes joined, the first space taken off."""

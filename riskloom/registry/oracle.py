@@ -701,12 +701,28 @@ ORACLE["tfidf_vocab"] = with_views("postings", f"WITH {_vocab('postings')} SELEC
 ORACLE["tfidf_sparse"] = with_views(
     "postings", f"WITH {_vocab('postings')} SELECT job_id, term, round(weight, 6) AS weight FROM tfidf"
 )
+
+def _leading(steps: int) -> str:
+    """Power iteration on the weights: `axis` is the leading right singular vector."""
+    out = ["v0 AS MATERIALIZED (SELECT term, CAST(1 AS DOUBLE) AS a FROM vocab)"]
+    for i in range(1, steps + 1):
+        out.append(
+            f"v{i} AS MATERIALIZED (SELECT term, a / sqrt(sum(a * a) OVER ()) AS a FROM (SELECT t.term, sum(t.weight * u.d) AS a "
+            f"FROM tfidf t JOIN (SELECT job_id, sum(weight * a) AS d FROM tfidf JOIN v{i - 1} USING (term) GROUP BY job_id) u USING (job_id) GROUP BY t.term))"
+        )
+    return ", ".join([*out, f"axis AS MATERIALIZED (SELECT * FROM v{steps})"])
+
+
 # Every dense vector has unit length unless the record has no vocabulary word.
 ORACLE["tfidf_svd"] = with_views(
     "postings",
-    f"""WITH {_vocab('postings')} SELECT p.job_id, CAST(20 AS BIGINT) AS components,
-    CASE WHEN count(t.term) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS length
-    FROM postings p LEFT JOIN tfidf t ON p.job_id = t.job_id GROUP BY p.job_id""",
+    f"""WITH {_vocab('postings')}, {_leading(40)},
+    along AS MATERIALIZED (SELECT job_id, sum(weight * a) AS d FROM tfidf JOIN axis USING (term) GROUP BY job_id),
+    lead AS (SELECT sqrt(sum(d * d)) AS s FROM along)
+    SELECT p.job_id, least(300, (SELECT count(*) FROM vocab) - 1) AS components,
+    CASE WHEN d IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS length,
+    round(COALESCE(abs(d), 0), 4) AS leading_weight, round((SELECT s FROM lead), 4) AS leading_value
+    FROM postings p LEFT JOIN along ON p.job_id = along.job_id""",
 )
 _IMPUTED = ", ".join(f"COALESCE({c}, median({c}) OVER ()) AS {c}" for c in fixed.NUMBER_COLUMNS)
 ORACLE["median_impute"] = with_views(

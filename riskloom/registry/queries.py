@@ -637,17 +637,20 @@ def tfidf_sparse(v: Views) -> DataFrame:
 
 @query
 def tfidf_svd(v: Views) -> DataFrame:
-    """Unit-length dense text vectors; each one's length and leading weight."""
+    """Unit-length dense text vectors: size and length, the weight along the leading
+    direction before scaling (its sign is free), and the leading singular value."""
     postings, text = spread(v.postings(), fixed.KEY), clean.combined_text()
-    model = text_features.fit_text(postings, text, "dense", STOP_WORDS, components=20)
-    dense = model.transform(postings, text).select(
-        fixed.KEY, vector_to_array("text_vec").alias("x")
-    )
-    squares = F.aggregate("x", F.lit(0.0), lambda total, x: total + x * x)
+    model = text_features.fit_text(postings, text, "dense", STOP_WORDS)
+    dense = model.sparse(model.transform(postings, text), text, "weights")
+    axis = F.from_json(F.lit(json.dumps(model.projection[:, 0].tolist())), "array<double>")
+    leading = F.zip_with(vector_to_array("weights"), axis, lambda w, a: w * a)
+    total = lambda column: F.aggregate(column, F.lit(0.0), lambda s, x: s + x)
     return dense.select(
         fixed.KEY,
-        F.size("x").cast("bigint").alias("components"),
-        F.round(F.sqrt(squares), SIX).alias("length"),
+        F.size(vector_to_array("text_vec")).cast("bigint").alias("components"),
+        F.round(F.sqrt(total(F.transform(vector_to_array("text_vec"), lambda x: x * x))), SIX).alias("length"),
+        F.round(F.abs(total(leading)), 4).alias("leading_weight"),
+        F.round(F.lit(float(model.singular_values[0])), 4).alias("leading_value"),
     )
 
 

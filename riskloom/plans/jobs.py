@@ -3,13 +3,19 @@ user of the study would want, as lazy DataFrames."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import partial
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom import fixed
-from riskloom.operators import clean, coverage, flag_stats, scoring
+from riskloom.functions.columns import half_even
+from riskloom.operators import agreement, clean, coverage, flag_stats, models, paired, scoring
+from riskloom.operators.results import named_models, summary_means
 from riskloom.plans import reports
+from riskloom.sources import results as result_files
+from riskloom.sources.tables import write_table
 
 
 def score_records(
@@ -95,3 +101,84 @@ def review_package(
         "composition": coverage.sample_composition(sample),
         "flag_counts": flag_stats.flag_count_distribution(sample),
     }
+
+
+def _done(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def evaluation_run(
+    df: DataFrame, key: str, label: str, folder: str, start: int = 1, count: int = 50,
+    learners: Iterable[str] = tuple(models.MODELS), groups: dict[str, list[str]] = fixed.FEATURE_GROUPS,
+    **options,
+) -> DataFrame:
+    """The whole evaluation: fit the grid, then write one wide table per model and the
+    summary of means to `folder`. Returns the summary.
+
+    Results are appended seed by seed below `folder`/progress, so a repeated run
+    fits only what is missing (by seed, model and group).
+    """
+    spark, progress = df.sparkSession, f"{folder}/progress"
+    usable = models.group_columns(df, groups)
+    for seed in range(start, start + count):
+        done = _done(spark, progress)
+        have = set()
+        if done is not None:
+            # At most models x groups rows of one seed.
+            rows = done.where(F.col("random_state") == seed).select("model", "grp").distinct().collect()
+            have = {(r["model"], r["grp"]) for r in rows}
+        todo = {}
+        for group, columns in usable.items():
+            missing = tuple(m for m in learners if (m, group) not in have)
+            if missing:
+                todo.setdefault(missing, {})[group] = columns
+        for names, wanted in todo.items():
+            found = models.evaluate_grid(df, key, label, [seed], names, wanted, **options)
+            found.coalesce(1).write.mode("append").parquet(progress)
+    run = f"rs{start}-{start + count - 1}"
+    long = spark.read.parquet(progress).where(F.col("random_state").between(start, start + count - 1))
+    result_files.write_results(long, folder, run)
+    means = named_models(summary_means(long)).withColumnRenamed("grp", "group")
+    shown = means.withColumns({m: half_even(F.col(m), 6) for m in fixed.METRICS}).orderBy("model", "group")
+    write_table(shown.coalesce(1), f"{folder}/summary_means_{run}.csv", "csv")
+    return shown
+
+
+def comparison_run(spark: SparkSession, folder: str, run: str | None = None) -> dict[str, DataFrame]:
+    """Compare the feature groups of a run's result files and write the table beside
+    them. Without `run` there must be exactly one in the folder."""
+    if run is None:
+        found = result_files.discover_result_sets(spark, folder)
+        if len(found) != 1:
+            raise ValueError(f"name one of the runs in {folder}: {found}")
+        run = found[0]
+    long = result_files.load_results(spark, folder, run)
+    table = reports.comparison_report(long)
+    write_table(table.coalesce(1), f"{folder}/statistical_comparisons_{run}.csv", "csv")
+    tests = paired.compare_groups(long)
+    return {
+        "comparisons": table,
+        "significance_counts": paired.significance_counts(tests),
+        "model_significance": paired.model_significance(tests),
+    }
+
+
+def agreement_run(review: DataFrame, reference: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """Human against machine flags of a review sheet: figures, disagreements and
+    their counts, written to `folder`."""
+    matched = agreement.match_labels(review, reference)
+    ids = [c for c in ("sample_id", fixed.KEY) if c in matched.columns]
+    differing = agreement.disagreements(matched, ids)
+    tables = {
+        "manual_vs_ai_comparison": reports.human_report(review, reference),
+        "manual_vs_ai_disagreements": agreement.sorted_disagreements(differing),
+        "disagreement_counts": agreement.disagreement_counts(differing),
+    }
+    for name, table in tables.items():
+        write_table(table.coalesce(1), f"{folder}/{name}.csv", "csv")
+    return tables

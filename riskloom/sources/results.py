@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom import fixed
@@ -11,17 +13,12 @@ NAME = r"^([A-Za-z_]+)_results_(rs\d+-\d+)\.csv$"
 
 
 def result_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(model_file, run, path) of the result files; contents are not read."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*_results_rs*.csv")
-        .load(folder).select("path")
-    )
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        F.regexp_extract(name, NAME, 1).alias("model_file"),
-        F.regexp_extract(name, NAME, 2).alias("run"),
-        "path",
-    ).where("run <> ''")
+    """(model_file, run, path) of the result tables in a folder: single files, or folders
+    that Spark wrote. Only names are listed, a few dozen."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    found = [(m[1], m[2], e.getPath().toString()) for e in entries if (m := re.match(NAME, e.getPath().getName()))]
+    return spark.createDataFrame(found, "model_file string, run string, path string")
 
 
 def discover_result_sets(spark: SparkSession, folder: str) -> list[str]:

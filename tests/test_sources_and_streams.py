@@ -219,3 +219,59 @@ def test_small_helpers(spark):
         "m1": (2, 4), "m2": (0, 2),
     }
     assert spread(df, "c") is df  # no files, so nothing is moved
+
+
+def test_evaluation_run_resumes_and_writes(spark, tmp_path, monkeypatch):
+    from riskloom.operators import models
+    from riskloom.plans import jobs
+
+    fits = []
+
+    def grid(df, key, label, seeds, names, groups, **options):
+        names = list(names)
+        fits.append((seeds[0], tuple(names), tuple(groups)))
+        rows = [(s, m, g, k, 0.25 * s + 0.01 * i) for s in seeds for m in names for g in groups for i, k in enumerate(fixed.METRICS)]
+        return spark.createDataFrame(rows, "random_state bigint, model string, grp string, metric string, value double")
+
+    monkeypatch.setattr(models, "evaluate_grid", grid)
+    df = spark.createDataFrame([(1, 0, 1.0)], "k int, y int, a double")
+    groups = {"base": ["a"], "single_pass": ["a"], "multi_agent_all": ["absent"]}
+    folder = str(tmp_path / "results")
+    jobs.evaluation_run(df, "k", "y", folder, 1, 1, ["lr"], groups)
+    summary = jobs.evaluation_run(df, "k", "y", folder, 1, 2, ["lr", "rf"], groups)
+    both = ("base", "single_pass")
+    assert fits == [(1, ("lr",), both), (1, ("rf",), both), (2, ("lr", "rf"), both)]
+    assert [tuple(r)[:3] for r in summary.collect()] == [("LR", g, 0.375) for g in both] + [("RF", g, 0.375) for g in both]
+    back = result_files.load_results(spark, folder, "rs1-2")
+    assert back.count() == 2 * 2 * 2 * len(fixed.METRICS)
+    assert len(spark.read.option("header", True).csv(f"{folder}/summary_means_rs1-2.csv").collect()) == 4
+    jobs.evaluation_run(df, "k", "y", folder, 1, 2, ["lr", "rf"], groups)
+    assert len(fits) == 3
+
+
+def test_comparison_run(spark, tmp_path):
+    from riskloom.plans import jobs
+
+    result_files.write_results(long_results(spark), str(tmp_path), "rs1-3")
+    out = jobs.comparison_run(spark, str(tmp_path))
+    written = spark.read.option("header", True).csv(str(tmp_path / "statistical_comparisons_rs1-3.csv"))
+    assert written.count() == out["comparisons"].count() == 2 * len(fixed.METRICS)
+    assert {round(float(r["mean_diff"]), 6) for r in written.collect()} == {0.1}
+    assert out["significance_counts"].first()["total"] == 2 * len(fixed.METRICS)
+    result_files.write_results(long_results(spark), str(tmp_path), "rs4-6")
+    with pytest.raises(ValueError):
+        jobs.comparison_run(spark, str(tmp_path))
+
+
+def test_agreement_run(spark, tmp_path):
+    from riskloom.plans import jobs
+
+    flag = fixed.FLAGS[0]
+    reference = spark.createDataFrame([(1, 10, 1), (2, 11, 0), (3, 12, 1)], f"sample_id int, job_id int, {flag} int")
+    review = spark.createDataFrame([("1", "1"), ("2", "1"), ("3", "0"), ("Total", "2")], f"sample_id string, manual_{flag} string")
+    out = jobs.agreement_run(review, reference, str(tmp_path / "agreement"))
+    assert {(r["type"], r["records"]) for r in out["disagreement_counts"].collect()} == {(fixed.FALSE_POSITIVE, 1), (fixed.FALSE_NEGATIVE, 1)}
+    written = spark.read.option("header", True).csv(str(tmp_path / "agreement" / "manual_vs_ai_disagreements.csv"))
+    assert sorted(r["sample_id"] for r in written.collect()) == ["2", "3"]
+    figures = spark.read.option("header", True).csv(str(tmp_path / "agreement" / "manual_vs_ai_comparison.csv")).first()
+    assert (figures["True Positive"], figures["False Positive"], figures["Agreement (%)"]) == ("1", "1", "33.3")

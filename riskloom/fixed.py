@@ -174,3 +174,11 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+
+# How much each level of a flag definition's calibration weighs.
+CALIBRATION_LEVELS = {
+    "indicative_strength": {"strong": 3, "moderate": 2, "weak": 1},
+    "frequency_in_fraud": {"common": 3, "occasional": 2, "rare": 1},
+    "specificity_to_fraud": {"high": 3, "medium": 2, "low": 1},
+    "false_positive_risk": {"low": 3, "medium": 2, "high": 1},
+}

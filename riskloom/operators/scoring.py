@@ -151,17 +151,11 @@ def calibration_weights(definitions: DataFrame) -> dict[str, int]:
     strength x frequency x specificity x reliability, each 1..3. The weighting
     is this library's own: flags that are rarer false alarms weigh more.
     """
-    levels = {
-        "indicative_strength": {"strong": 3, "moderate": 2, "weak": 1},
-        "frequency_in_fraud": {"common": 3, "occasional": 2, "rare": 1},
-        "specificity_to_fraud": {"high": 3, "medium": 2, "low": 1},
-        "false_positive_risk": {"low": 3, "medium": 2, "high": 1},
-    }
     weights = {}
     # One row per flag definition, never data rows.
     for row in definitions.select("flag_id", "orchestrator").collect():
         weight = 1
-        for field, table in levels.items():
+        for field, table in fixed.CALIBRATION_LEVELS.items():
             weight *= table.get((row["orchestrator"] or {}).get(field, ""), 1)
         weights[fixed.FLAG_BY_ID[row["flag_id"]]] = weight
     return weights

@@ -413,7 +413,7 @@ def monte_carlo_splits(v: Views) -> DataFrame:
 
 @query
 def classification_metrics(v: Views) -> DataFrame:
-    """Each flag-rule combination read as a prediction, by priority."""
+    """Each flag-rule combination read as a prediction, by order status."""
     predicted = v.orders().withColumn(
         "prediction", F.greatest("flag4_anon_employer", "flag1_sensitive_info")
     )

@@ -25,17 +25,21 @@ MEASURES = (
     "n_lines long, n_letters long, n_capitals long, n_distinct_words long, n_ended_lines long"
 )
 NAMES = [part.split()[0] for part in MEASURES.split(", ")]
-# (name, votes good when, votes bad when); it abstains between them and where a part is undefined.
+# (name, votes good when, votes bad when); a rule abstains otherwise. Most look for one
+# fault only and say nothing about texts without it.
 RULES = [
-    ("length", "n_words >= 50", "n_words < 20"),
-    ("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
-    ("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    ("dup_lines", "n_dup_lines = 0", "10 * n_dup_lines > 3 * n_lines"),
-    ("repeats", "20 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
-    ("letters", "10 * n_letters >= 9 * word_chars", "10 * n_letters < 8 * word_chars"),
-    ("capitals", "5 * n_capitals <= n_letters", "2 * n_capitals > n_letters"),
-    ("variety", "4 * n_distinct_words >= n_words", "10 * n_distinct_words < n_words"),
-    ("line_ends", "2 * n_ended_lines >= n_lines", "10 * n_ended_lines < n_lines"),
+    ("length", None, "n_words < 20"),
+    ("word_length", None, "word_chars < 2 * n_words or word_chars > 12 * n_words"),
+    ("symbols", None, "10 * n_symbols > n_words"),
+    ("dup_lines", None, "2 * n_dup_lines > n_lines"),
+    ("repeats", None, "10 * n_repeat_words > 3 * n_words"),
+    ("letters", None, "20 * n_letters < 17 * word_chars"),
+    ("capitals", None, "2 * n_capitals > n_letters"),
+    ("variety", None, "10 * n_distinct_words < n_words"),
+    ("line_ends", None, "10 * n_ended_lines < n_lines"),
+    ("plain", "50 * n_symbols <= n_words and 20 * n_letters >= 17 * word_chars and 5 * n_capitals <= n_letters", None),
+    ("flowing", "20 * n_repeat_words <= n_words and 4 * n_distinct_words >= n_words and 20 * n_symbols <= n_words "
+     "and 3 * n_capitals <= n_letters", None),
 ]
 ROUNDS = 200
 KEEP_FROM = 0.5
@@ -91,18 +95,12 @@ def with_measures(docs: DataFrame, text_col: str = "text", into: str = "measures
     return store.bounded_batches(docs).withColumn(into, measured(F.col(f"`{text_col}`").cast("string")))
 
 
-def votes(prefix: str = "", rules=RULES) -> Column:
-    """One letter per rule: g good, b bad, - abstains. Texts without words get no votes but bad length."""
-    letters = []
-    for _, good, bad in rules:
-        for name in NAMES:
-            good, bad = (_prefixed(x, name, prefix) for x in (good, bad))
-        letters.append(F.expr(f"CASE WHEN {bad} THEN 'b' WHEN {good} AND {prefix}n_words > 0 THEN 'g' ELSE '-' END"))
-    return F.concat(*letters)
-
-
-def _prefixed(rule: str, name: str, prefix: str) -> str:
-    return " ".join(prefix + part if part == name else part for part in rule.split())
+def votes(rules=RULES) -> Column:
+    """One letter per rule: g good, b bad, - abstains. No rule calls a text without words good."""
+    return F.concat(*[
+        F.expr(f"CASE WHEN {bad or 'false'} THEN 'b' WHEN ({good or 'false'}) AND n_words > 0 THEN 'g' ELSE '-' END")
+        for _, good, bad in rules
+    ])
 
 
 @dataclass
@@ -124,27 +122,37 @@ def _coded(patterns: list[str]) -> np.ndarray:
     return np.array([["b-g".index(v) for v in p] for p in patterns], int).reshape(len(patterns), -1)
 
 
+# Chances of the votes b, -, g in bad and in good documents before anything is estimated,
+# by whether a rule casts both votes, only bad or only good ones.
+_START = {
+    "bg": ([0.4, 0.5, 0.1], [0.1, 0.5, 0.4]),
+    "b": ([0.3, 0.69, 0.01], [0.02, 0.97, 0.01]),
+    "g": ([0.01, 0.69, 0.3], [0.01, 0.19, 0.8]),
+}
+
+
 def fit_patterns(patterns: list[str], counts: list[int], rounds: int = ROUNDS) -> LabelModel | None:
     """Expectation-maximisation over vote patterns and the number of documents with each.
 
-    It starts from rules that are right four times in five. None without documents.
+    It starts from rules that are right more often than not, and from four good
+    documents in five. None without documents.
     """
     if not patterns:
         return None
     order = np.argsort(np.array(patterns))
     patterns, n = [patterns[i] for i in order], np.array(counts, float)[order]
     seen = _coded(patterns)
-    rules = seen.shape[1]
-    start = np.array([[0.4, 0.5, 0.1], [0.1, 0.5, 0.4]])
-    model = LabelModel(0.8, np.repeat(start[:, None, :], rules, axis=1))
+    casts = ["".join(v for v in "bg" if any(p[r] == v for p in patterns)) or "bg" for r in range(seen.shape[1])]
+    start = np.array([[_START[kind][c] for kind in casts] for c in (0, 1)])
+    model = LabelModel(0.8, start)
     for _ in range(rounds):
         good = model.posterior(patterns)
         share = float(np.clip((n * good).sum() / n.sum(), 1e-6, 1 - 1e-6))
-        chances = np.empty((2, rules, 3))
+        chances = np.empty_like(start)
         for c, weight in enumerate((n * (1 - good), n * good)):
-            for r in range(rules):
+            for r in range(seen.shape[1]):
                 # One vote's worth of the start keeps every chance above 0.
-                chances[c, r] = np.bincount(seen[:, r], weights=weight, minlength=3) + start[c]
+                chances[c, r] = np.bincount(seen[:, r], weights=weight, minlength=3) + start[c, r]
         model = LabelModel(share, chances / chances.sum(2, keepdims=True))
     return model
 

@@ -6,9 +6,11 @@ classes similar enough must still have one in common (the bounds follow from the
 sizes). Classes that meet there form groups; nothing similar lies in two groups. A
 group is cut into blocks of bounded size by set size, and each pair of blocks whose
 sizes allow a link is one sparse product: overlaps are accumulated n-gram by n-gram,
-pairs below the bound are discarded, and a spanning forest of the links goes on. No
-pairs are listed, and hot n-grams, copies and families of near copies cost no more
-than their product.
+pairs below the bound are discarded, and a spanning forest of the rest goes on. This
+is done twice: the product of the shown n-grams alone breaks groups that hang
+together by little, the product of whole sets within what remains decides. No pairs
+are listed, and hot n-grams, copies and families of near copies cost no more than
+their product.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from riskloom.llm.components import components
 WIDTH = 4
 PERCENT = 85
 SHOWN = 0.2
-BLOCK_NGRAMS = 400_000
+BLOCK_NGRAMS = 800_000
 # Groups are dealt to this many blocks' worth of n-grams per task at least.
-PACK_NGRAMS = 100_000
+PACK_NGRAMS = 200_000
 
 
 def ngram_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -63,6 +65,16 @@ def sure_overlap(n: int, percent: int = PERCENT) -> int:
     return max(1, min(bounds) - 2)
 
 
+def needed_overlaps(a: int, sizes: np.ndarray, percent: int, only_shown: bool) -> np.ndarray:
+    """The smallest overlap of a set of size a with each of the other sizes at which they
+    are, or by what they show may be, linked."""
+    least = -(-percent * (a + sizes) // (100 + percent))
+    if not only_shown:
+        return least
+    hidden = sizes - np.minimum(sizes, np.floor(SHOWN * sizes).astype(np.int64) + 1)
+    return np.maximum(1, least - np.maximum(a - shown(a), hidden))
+
+
 def _digest(ngrams: np.ndarray) -> bytes:
     return hashlib.blake2b(ngrams.tobytes(), digest_size=16).digest()
 
@@ -127,17 +139,19 @@ def _size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
 
 
-def _tasks(grouped: DataFrame, percent: int) -> DataFrame:
-    """id, task: where each class goes. `grouped` has id, n, component."""
+def _tasks(grouped: DataFrame, percent: int, share: float) -> DataFrame:
+    """id, task: where each class goes. `grouped` has id, n, component; `share` of its
+    n-grams go there."""
+    grouped = grouped.withColumn("m", F.col("n") * share)
     sized = grouped.withColumn("size", _size_class(F.col("n"), percent))
-    totals = grouped.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where("members > 1")
-    all_ngrams = grouped.agg(F.sum("n")).first()[0] or 0
+    totals = grouped.groupBy("component").agg(F.sum("m").alias("total"), F.count("*").alias("members")).where("members > 1")
+    all_ngrams = grouped.agg(F.sum("m")).first()[0] or 0
     packs = max(1, math.ceil(all_ngrams / PACK_NGRAMS))
     whole = totals.where(F.col("total") <= BLOCK_NGRAMS).select("component", F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), F.lit(packs))).alias("task"))
     small = sized.join(whole, "component").select("id", "task")
     large = totals.where(F.col("total") > BLOCK_NGRAMS).select("component")
-    rows = store.written(sized.join(large, "component").select("id", "n", "component", "size"))
-    layers = rows.groupBy("component", "size").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / (BLOCK_NGRAMS / 2))).cast("int").alias("blocks"))
+    rows = store.written(sized.join(large, "component").select("id", "m", "component", "size"))
+    layers = rows.groupBy("component", "size").agg(F.greatest(F.lit(1), F.ceil(F.sum("m") / (BLOCK_NGRAMS / 2))).cast("int").alias("blocks"))
     mine = rows.join(layers, ["component", "size"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # Each block meets the blocks of its own layer and of the layers next to it.
     near = layers.select("component", F.explode(F.array(*[F.col("size") + i for i in (-1, 0, 1)])).alias("size"), F.col("size").alias("their"), F.col("blocks").alias("theirs"))
@@ -150,17 +164,21 @@ def _tasks(grouped: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(pairs)
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the given sets, as pairs of ids.
+def forest(
+    ids: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray | None = None, percent: int = PERCENT, only_shown: bool = False,
+) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the given sets, as pairs of ids. `sizes` are
+    those of the whole sets where only the shown n-grams are given.
 
     The product of one row with all later rows: its n-grams' columns are gathered and
     counted, which gives the overlaps with every row that shares one.
     """
-    sizes = np.array([len(s) for s in sets])
+    lengths_of = np.array([len(s) for s in sets], np.int64)
+    sizes = lengths_of if sizes is None else np.asarray(sizes, np.int64)
     order = np.argsort(sizes, kind="stable")
     sizes = sizes[order]
     flat = np.concatenate([sets[i] for i in order]) if len(order) else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(order)), sizes)
+    owner = np.repeat(np.arange(len(order)), lengths_of[order])
     by = np.argsort(flat, kind="stable")
     flat, owner = flat[by], owner[by]
     starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, int)
@@ -184,14 +202,13 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> l
     for row in range(len(order)):
         mine, until = entries[at[row] : at[row + 1]] + 1, column_end[at[row] : at[row + 1]]
         lengths = until - mine
-        # Later rows only, and no row too large for a link.
-        if sizes[row] == 0 or lengths.sum() < least_overlap(int(sizes[row]), int(sizes[row]), percent):
-            continue
         total = int(lengths.sum())
-        offsets = np.repeat(mine - np.r_[0, np.cumsum(lengths)[:-1]], lengths)
+        if not total:
+            continue
+        offsets = np.repeat(mine - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
         overlap = np.bincount(owner[offsets + np.arange(total)], minlength=len(order))
-        linked = np.flatnonzero(100 * overlap >= percent * (sizes[row] + sizes - overlap))
-        for other in linked[overlap[linked] > 0].tolist():
+        linked = np.flatnonzero(overlap >= needed_overlaps(int(sizes[row]), sizes, percent, only_shown))
+        for other in linked.tolist():
             a, b = root(row), root(other)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -199,22 +216,24 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> l
     return found
 
 
-def _links(representatives: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(representatives: DataFrame, tasks: DataFrame, width: int, percent: int, only_shown: bool) -> DataFrame:
     """Edges a, b of the forests of all tasks."""
     texts = representatives.join(store.few(tasks), "id")
 
     def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in store.pieces(batches):
-            yield pd.DataFrame({
-                "task": batch["task"].to_numpy(), "id": batch["id"].to_numpy(),
-                "ngrams": [ngram_set(t, width).view(np.int64) for t in batch["text"]],
-            })
+            sets = [ngram_set(t, width).view(np.int64) for t in batch["text"]]
+            sizes = [len(s) for s in sets]
+            # The order of the hashes is that of unsigned numbers, so the first ones are the shown ones.
+            kept = [s[: shown(len(s))] for s in sets] if only_shown else sets
+            yield pd.DataFrame({"task": batch["task"].to_numpy(), "id": batch["id"].to_numpy(), "n": sizes, "ngrams": kept})
 
     def product(batch: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(s, np.int64).view(np.uint64) for s in batch["ngrams"]]
-        return pd.DataFrame(forest(batch["id"].to_numpy(), sets, percent), columns=["a", "b"]).astype("int64")
+        found = forest(batch["id"].to_numpy(), sets, batch["n"].to_numpy(), percent, only_shown)
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    sets = texts.select("task", "id", "text").mapInPandas(as_sets, "task string, id long, ngrams array<long>")
+    sets = texts.select("task", "id", "text").mapInPandas(as_sets, "task string, id long, n long, ngrams array<long>")
     return sets.groupBy("task").applyInPandas(product, "a long, b long")
 
 
@@ -237,8 +256,11 @@ def similar_components(
     ids = classes.where("n > 0 and id is not null")
     stands = ids.groupBy("digest").agg(F.min("id").alias("rep"))
     sizes = ids.groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
-    grouped = store.written(groups.withColumnRenamed("node", "id").join(sizes, "id"))
-    links = _links(reps, store.written(_tasks(grouped, percent)), width, percent)
+    for share, only_shown in ((SHOWN, True), (1.0, False)):
+        grouped = store.written(groups.withColumnRenamed("node", "id").join(sizes, "id"))
+        links = store.written(_links(reps, store.written(_tasks(grouped, percent, share)), width, percent, only_shown))
+        if only_shown:
+            groups = components(links)
     same = ids.join(stands, "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # Copies hang on their class; only an id with several texts joins classes by itself.
     several = ids.groupBy("id").agg(F.count_distinct("digest").alias("texts")).where("texts > 1").select(F.col("id").alias("a"))

@@ -47,7 +47,7 @@ def test_near_copies_as_by_brute_force(spark):
 
 
 def test_near_copies_do_not_depend_on_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", 60)
+    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", 40)
     monkeypatch.setattr(ngram_join, "PACK_NGRAMS", 50)
     rows = near_copy_rows(5)
     found = {r.id: (r.n, r.component) for r in ngram_join.similar_components(table(spark, rows)).collect()}

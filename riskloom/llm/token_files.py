@@ -30,7 +30,7 @@ from riskloom.llm.memo import Memo
 CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
-CACHED_PIECES = 250_000
+CACHED_PIECES = 700_000
 LONGEST_CACHED = 64
 # A letter of Western alphabets with marks behind it. The file never joins them.
 _MARKS_IN_A_ROW = re.compile(r"[^a-zß-öø-ÿ0-9\s][.,](?=[ \n])")

@@ -26,7 +26,7 @@ from riskloom.llm import store
 from riskloom.llm.memo import Memo
 
 SPACE = "▁"
-CACHED_WORDS = 150_000
+CACHED_WORDS = 350_000
 # Added to the lowest score for a character that no piece covers.
 _UNKNOWN_PENALTY = 10.0
 _NONE = float("-inf")

@@ -185,14 +185,15 @@ def fit(
         store.named(labels, id=id_col, label=label_col).where("id is not null and label in (0, 1)")
         .groupBy("id").agg(F.max("label").cast("int").alias("label"))
     )
-    texts = (
-        store.named(docs, id=id_col, text=text_col).where(F.length("text").between(1, longest))
-        .join(known, "id")
-    )
+    texts = store.named(docs, id=id_col, text=text_col).where(F.length("text").between(1, longest))
+    # Only ids travel until the sample is chosen; its texts meet a broadcast of that many rows.
+    labelled = texts.select("id").join(known, "id")
     rows = []
     for label, most in ((1, positives), (0, negatives)):
-        chosen = texts.where(F.col("label") == label)
-        rows += chosen.orderBy(F.md5(F.col("id").cast("string")), "id", "text").limit(most).collect()
+        order = F.md5(F.col("id").cast("string"))
+        chosen = store.written(labelled.where(F.col("label") == label).select("id").distinct().orderBy(order, "id").limit(most))
+        own = texts.join(F.broadcast(chosen), "id").orderBy(order, "id", F.xxhash64("text")).limit(most)
+        rows += own.withColumn("label", F.lit(label)).collect()
     return train([r.text for r in rows], [r.label for r in rows])
 
 

@@ -87,7 +87,8 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> float:
         """The toxic probability of the most toxic segment; 0 for a text without words."""
-        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -700, 700))))
+        logit = self.logit(text)
+        return 0.0 if logit == -np.inf else float(1 / (1 + np.exp(-np.clip(logit, -700, 700))))
 
 
 class _Bags:

@@ -197,7 +197,7 @@ def test_window_stays_bounded():
     assert ids + stream.close() == brute.best_path(codec.v, text[1:])
 
 
-def test_as_the_library_with_these_scores(small):
+def test_the_library_finds_no_better_path(small):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     import sentencepiece
 
@@ -206,10 +206,10 @@ def test_as_the_library_with_these_scores(small):
     model.trainer_spec.model_type = 1  # the same pieces and scores, read as a unigram model
     library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
     codec = sentence_pieces.PieceCodec(PIECES)
-    # Lines without unknown characters: their huge penalty costs the library's floats their digits.
+    total = lambda ids: sum(codec.v.scores.get(codec.v.pieces[int(i)], 0.0) for i in ids)
     lines = [x for _, t in texts_of(small)[:60] for x in (t or "").split("\n") if x and "  " not in x]
-    same = [codec.encode(x).tolist() == library.encode(x) for x in lines if not set(x) - set(codec.v.ids) - {" "}]
-    assert len(same) > 100 and all(same)
+    known = [x for x in lines if not set(x) - set(codec.v.ids) - {" "}]
+    assert len(known) > 100 and all(total(codec.encode(x)) >= total(library.encode(x)) for x in known)
 
 
 def test_codec_columns(spark):

@@ -66,3 +66,11 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for i in range(width):
         out = mix(out * _BASE + words[i : len(words) - width + 1 + i])
     return out
+
+
+def span_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the word hashes from `first` up to `end` of each span, whatever the lengths."""
+    powers, inverses = _grown(len(words))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers[: len(words)], out=sums[1:])
+    return mix((sums[end] - sums[first]) * inverses[first] + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -42,6 +42,25 @@ def near_copies(rows, percent=85, width=4):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
+def repeated_passages(rows, run_words):
+    """(id, start, end, words, kept) of (id, text) rows with different ids, windows looked up one by one."""
+    first, out = {}, []
+    for i, text in sorted(rows):
+        spans = [m.span() for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
+        low = [text[a:b].translate(FOLD) for a, b in spans]
+        found = []
+        for p in range(len(low) - run_words + 1):
+            kept, at = first.setdefault(tuple(low[p : p + run_words]), (i, p))
+            if kept == i and p - at < run_words:
+                continue
+            if found and p <= found[-1][1] + run_words:
+                found[-1][1] = p
+            else:
+                found.append([p, p, kept])
+        out += [(i, spans[a][0], spans[b + run_words - 1][1], b + run_words - a, kept) for a, b, kept in found]
+    return out
+
+
 def bench_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD))
 

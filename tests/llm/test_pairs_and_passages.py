@@ -180,6 +180,31 @@ def test_a_text_that_repeats_itself_and_copies(spark):
     assert substring_dedup.without_passages(table(spark, [])).count() == 0
 
 
+def test_short_passages_inside_lines_are_cut_whole(spark):
+    """Passages of 30 to 70 words inside a line, 120 of them, each cut from its first to its last word."""
+    rows, wanted = [], {}
+    for seed in range(120):
+        rng = random.Random(seed)
+        passage = words(rng, 51 + seed % 10 if seed < 100 else 30 + 2 * (seed - 100), 10**9)
+        a, b, c, d = (" ".join(words(rng, rng.randrange(80), 10**9)) for _ in range(4))
+        rows += [(2 * seed, f"{a} {' '.join(passage)} {b}"), (2 * seed + 1, f"\u00c4\u20ac {c} {', '.join(passage).upper()}. {d}")]
+        start = len(f"\u00c4\u20ac {c} ")
+        wanted[2 * seed + 1] = (start, start + len(", ".join(passage)), len(passage), 2 * seed)
+    found = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    assert {r.id: (r.start, r.end, r.n_words, r.kept) for r in found} == wanted and len(found) == len(wanted)
+
+
+@pytest.mark.parametrize("run_words", [4, 12, 30])
+def test_passages_as_by_brute_force(spark, run_words):
+    rng = random.Random(run_words)
+    rows = [(i, " ".join(words(rng, rng.randrange(150), 2 if i % 3 else 40))) for i in range(30)]
+    rows += [(40, "x " * 90), (41, "x y " * 45), (42, rows[4][1]), (None, rows[4][1] + " " + rows[5][1])]
+    found = substring_dedup.repeated_passages(table(spark, rows), run_words=run_words).collect()
+    ranked = [(10**9 if i is None else i, t) for i, t in rows]
+    cut = sorted((10**9 if r.id is None else r.id, r.start, r.end, r.n_words, r.kept) for r in found)
+    assert cut == sorted(brute.repeated_passages(ranked, run_words)) and cut
+
+
 def line_rows():
     rng = random.Random(9)
     rows = []

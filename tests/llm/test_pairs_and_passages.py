@@ -205,6 +205,16 @@ def test_passages_as_by_brute_force(spark, run_words):
     assert cut == sorted(brute.repeated_passages(ranked, run_words)) and cut
 
 
+def test_passages_of_short_lines_are_cut(spark):
+    """Lists and verse: lines of one or two words, as copies of whole documents and inside other texts."""
+    rng = random.Random(13)
+    listed = "\n".join(" ".join(words(rng, rng.choice([1, 2]), 10**9)) for _ in range(60))
+    rows = [(1, listed), (2, listed), (3, f"other words before it\n{listed}\nand behind it"), (4, listed.replace("\n", " - "))]
+    found = {r.id: (r.start, r.end, r.n_words, r.kept) for r in substring_dedup.repeated_passages(table(spark, rows)).collect()}
+    n = len(listed.split())
+    assert found == {2: (0, len(listed), n, 1), 3: (22, 22 + len(listed), n, 1), 4: (0, len(rows[3][1]), n, 1)}
+
+
 def line_rows():
     rng = random.Random(9)
     rows = []

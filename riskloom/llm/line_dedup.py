@@ -19,7 +19,7 @@ MIN_DOCS = 10
 MIN_WORDS = 3
 LEADING = 2
 FIXED_SHARE = 0.75
-# Of the documents with a template, so many must differ in their other lines.
+# Of the different texts with a template, so many must differ in their other lines.
 OWN_SURROUNDINGS = 0.5
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,22 +35,23 @@ def line_words(line: Column) -> Column:
 
 
 def tree_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, at, line, words, leaf, around for every line long enough.
+    """doc, copy, at, line, words, leaf, around for every line long enough.
 
     `around` stands for the other lines of the document: the smallest digest among
-    them. Equal in copies, different in texts that share little.
+    them. Equal in copies, different in texts that share little. `copy` is the same in
+    documents of equal text.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(row_key(id_col, text_col).alias("doc"), lines_of(text).alias("__lines"))
+    rows = docs.select(row_key(id_col, text_col).alias("doc"), F.xxhash64(text).alias("copy"), lines_of(text).alias("__lines"))
     low = F.slice(F.array_sort(F.array_distinct(F.transform("__lines", lambda x: F.md5(x)))), 1, 2)
     lines = (
-        rows.select("doc", "__lines", low.alias("low")).select("doc", "low", F.posexplode("__lines").alias("at", "line"))
+        rows.select("doc", "copy", "__lines", low.alias("low")).select("doc", "copy", "low", F.posexplode("__lines").alias("at", "line"))
         .withColumn("digest", F.md5("line")).withColumn("words", line_words(F.col("line")))
         .where(F.size("words") >= MIN_WORDS)
     )
     around = F.when(F.get("low", F.lit(0)) == F.col("digest"), F.coalesce(F.get("low", F.lit(1)), F.lit(""))).otherwise(F.get("low", F.lit(0)))
     leaf = F.xxhash64(F.size("words"), F.slice("words", 1, LEADING))
-    return lines.select("doc", "at", "digest", "words", leaf.alias("leaf"), around.alias("around"))
+    return lines.select("doc", "copy", "at", "digest", "words", leaf.alias("leaf"), around.alias("around"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, fixed_share: float) -> DataFrame:
@@ -59,8 +60,8 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int,
     busy = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     seen = lines.join(store.few(store.written(busy)), "leaf", "left_semi")
     # Each different line once, with the number of documents that have it.
-    each = store.written(seen.select("leaf", "digest", "words", "doc", "around").groupBy("digest", "doc").agg(
-        F.first("leaf").alias("leaf"), F.first("words").alias("words"), F.first("around").alias("around"),
+    each = store.written(seen.select("leaf", "digest", "words", "doc", "copy", "around").groupBy("digest", "doc").agg(
+        F.first("leaf").alias("leaf"), F.first("words").alias("words"), F.first("around").alias("around"), F.first("copy").alias("copy"),
     ))
     different = store.written(each.groupBy("digest").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words"), F.count("*").alias("docs")))
     placed = different.select("digest", "leaf", "docs", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
@@ -73,8 +74,8 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int,
     )
     template = store.written(template)
     recurring = (
-        each.select("digest", "doc", "around").join(store.few(template), "digest")
-        .groupBy("template").agg(F.count_distinct("doc").alias("n"), F.count_distinct("around").alias("own"))
+        each.select("digest", "copy", "around").join(store.few(template), "digest")
+        .groupBy("template").agg(F.count_distinct("copy").alias("n"), F.count_distinct("around").alias("own"))
         .where((F.col("n") >= min_docs) & (F.col("own") >= min_docs) & (F.col("own") >= OWN_SURROUNDINGS * F.col("n")))
         .select("template")
     )

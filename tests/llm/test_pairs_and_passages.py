@@ -242,6 +242,16 @@ def test_recurring_templates_go_and_copies_stay(spark):
     assert repeated.count() == 41
 
 
+def test_copies_of_one_holder_do_not_keep_a_template_elsewhere(spark):
+    """A line in 30 different texts, one of which has 60 copies, goes from all; the copies keep their other lines."""
+    rng = random.Random(14)
+    shared = "All rights reserved by the author"
+    texts = ["\n".join([shared, *(" ".join(words(rng, 9, 10**9)) for _ in range(5))]) for _ in range(30)]
+    rows = list(enumerate(texts)) + [(100 + i, texts[0]) for i in range(60)]
+    found = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(table(spark, rows)).collect()}
+    assert found == {i: t.split("\n", 1)[1] for i, t in rows}
+
+
 def test_line_sql_on_the_same_rows(spark):
     from riskloom.llm.oracle import OP10
     from tests.compare import differences

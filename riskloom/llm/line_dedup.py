@@ -18,7 +18,9 @@ from riskloom.llm.decontamination import row_key
 MIN_DOCS = 10
 MIN_WORDS = 3
 LEADING = 2
+# Of a line's words without digits, so many must be fixed, and at least FIXED_WORDS.
 FIXED_SHARE = 0.75
+FIXED_WORDS = 2
 # Of the different texts with a template, so many must differ in their other lines.
 OWN_SURROUNDINGS = 0.5
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -64,14 +66,18 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int,
         F.first("leaf").alias("leaf"), F.first("words").alias("words"), F.first("around").alias("around"), F.first("copy").alias("copy"),
     ))
     different = store.written(each.groupBy("digest").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words"), F.count("*").alias("docs")))
-    placed = different.select("digest", "leaf", "docs", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
+    plain = F.size(F.filter("words", lambda w: w != "<*>"))
+    placed = different.select("digest", "leaf", "docs", plain.alias("plain"), F.posexplode("words").alias("pos", "word"))
     fixed = placed.groupBy("leaf", "pos", "word").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "word")
-    template = (
+    of_words = (
         placed.where("word != '<*>'").join(fixed, ["leaf", "pos", "word"])
-        .groupBy("digest", "leaf", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("kept"))
-        .where(F.size("kept") >= fixed_share * F.col("n"))
+        .groupBy("digest", "leaf", "plain").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("kept"))
+        .where((F.size("kept") >= fixed_share * F.col("plain")) & (F.size("kept") >= FIXED_WORDS))
         .select("digest", F.md5(F.to_json(F.struct("leaf", "kept"))).alias("template"))
     )
+    # With fewer fixed words a line is a template only as it stands.
+    as_it_stands = different.where((F.col("docs") >= min_docs) & (plain < FIXED_WORDS)).select("digest", F.col("digest").alias("template"))
+    template = of_words.unionByName(as_it_stands)
     template = store.written(template)
     recurring = (
         each.select("digest", "copy", "around").join(store.few(template), "digest")

@@ -252,6 +252,18 @@ def test_copies_of_one_holder_do_not_keep_a_template_elsewhere(spark):
     assert found == {i: t.split("\n", 1)[1] for i, t in rows}
 
 
+def test_templates_with_many_variable_fields(spark):
+    rng = random.Random(15)
+    rows, wanted = [], {}
+    for i in range(30):
+        own = [" ".join(words(rng, 9, 10**9)) for _ in range(5)]
+        fields = [f"2024-05-{i:02} 12:00:{i} INFO worker {i} started job 99{i}", f"Posted on {i} March 2024 at 10:{i}", "2024 01 02 13:00", f"{i} {i} {i}"]
+        rows.append((i, "\n".join([fields[0], own[0], *fields[1:], *own[1:]])))
+        wanted[i] = "\n".join([own[0], fields[3], *own[1:]])
+    found = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(table(spark, rows)).collect()}
+    assert found == wanted
+
+
 def test_line_sql_on_the_same_rows(spark):
     from riskloom.llm.oracle import OP10
     from tests.compare import differences

@@ -1,8 +1 @@
 """Risk scoring, flag statistics and model evaluation on Spark DataFrames."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# The few Python helpers travel with the task, so workers need no install.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

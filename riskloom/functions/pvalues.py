@@ -7,10 +7,13 @@ They only ever see report rows, never data rows.
 from __future__ import annotations
 
 import math
+from functools import wraps
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import SparkSession, functions as F, types as T
+
+from riskloom.functions.shipping import ship
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -106,6 +109,18 @@ def fisher_two_sided(a: float, b: float, c: float, d: float) -> float:
     return min(1.0, extreme / total)
 
 
+def _column_function(function):
+    """A function of columns that workers apply to batches of doubles."""
+    applied = F.pandas_udf(function, T.DoubleType())
+
+    @wraps(function)
+    def of(*columns):
+        ship(SparkSession.active())
+        return applied(*columns)
+
+    return of
+
+
 def _each(function, *series: pd.Series) -> pd.Series:
     rows = zip(*(s.astype("float64") for s in series))
     return pd.Series(
@@ -114,26 +129,26 @@ def _each(function, *series: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf(T.DoubleType())
+@_column_function
 def normal_upper_p(z: pd.Series) -> pd.Series:
     return _each(lambda v: 0.5 * math.erfc(v / math.sqrt(2.0)), z)
 
 
-@F.pandas_udf(T.DoubleType())
+@_column_function
 def chi2_1dof_p(statistic: pd.Series) -> pd.Series:
     return _each(lambda v: math.erfc(math.sqrt(max(v, 0.0) / 2.0)), statistic)
 
 
-@F.pandas_udf(T.DoubleType())
+@_column_function
 def student_two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _each(t_two_sided, t, dof)
 
 
-@F.pandas_udf(T.DoubleType())
+@_column_function
 def student_975(dof: pd.Series) -> pd.Series:
     return _each(t_quantile_975, dof)
 
 
-@F.pandas_udf(T.DoubleType())
+@_column_function
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return _each(fisher_two_sided, a, b, c, d)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom import fixed
 from riskloom.functions.columns import add_up, band, number_text, score_0_10
+from riskloom.functions.shipping import ship
 from riskloom.operators.ordering import keys_at
 
 
@@ -210,6 +211,7 @@ def score_many(
     `carry` columns and `response_<name>`; the number of partitions is the
     number of scorers at work.
     """
+    ship(df.sparkSession)
     texts = list(dict.fromkeys(text for text, _ in steps.values()))
     rows = df.select(*carry, *[t for t in texts if t not in carry])
 

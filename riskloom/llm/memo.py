@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
+# What a dictionary entry takes besides the characters of its key and the bytes of its value.
+_ENTRY = 190
+
 
 class Memo:
-    """Values by key, in two generations of at most `most` keys.
+    """Byte strings by text, in two generations of at most `most` bytes each.
 
     When the young generation is full it becomes the old one, whose keys are
     forgotten unless they are asked for again: frequent keys stay.
     """
 
     def __init__(self, most: int):
-        self.most = most
-        self.young: dict = {}
-        self.old: dict = {}
+        self.most, self.size = most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __len__(self) -> int:
         return len(self.young) + len(self.old)
 
-    def find(self, keys: list) -> tuple[list, list[int]]:
+    def find(self, keys: list[str]) -> tuple[list, list[int]]:
         """The values of the keys, None where unknown, and the places of those."""
         found = list(map(self.young.get, keys))
         unknown = []
-        for i in [i for i, value in enumerate(found) if value is None]:
-            value = found[i] = self.old.get(keys[i])
-            if value is None:
-                unknown.append(i)
-            else:
-                self.put(keys[i], value)
+        if None in found:
+            for i in [i for i, value in enumerate(found) if value is None]:
+                value = found[i] = self.old.get(keys[i])
+                if value is None:
+                    unknown.append(i)
+                else:
+                    self.put(keys[i], value)
         return found, unknown
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
+    def put(self, key: str, value: bytes) -> None:
+        if self.size >= self.most:
+            self.old, self.young, self.size = self.young, {}, 0
         self.young[key] = value
+        self.size += _ENTRY + 2 * len(key) + len(value)

@@ -159,14 +159,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             terms = [term_weights(t) for t in batch["text"]]
             at = [np.flatnonzero(t) for t in terms]
             yield pd.DataFrame({
-                "id": batch["id"], "label": batch["label"], "at": [a.astype(np.int32) for a in at],
-                "weight": [t[a] for t, a in zip(terms, at)],
+                "id": batch["id"], "label": batch["label"], "at": [a.astype("<i4").tobytes() for a in at],
+                "weight": [t[a].astype("<f4").tobytes() for t, a in zip(terms, at)],
             })
 
-    rows = texts.mapInPandas(vectors, "id long, label int, at array<int>, weight array<float>").collect()
-    # One vector per labelled id: an id that several rows repeat counts once.
-    one = {r.id: r for r in sorted(rows, key=lambda r: (r.id, list(r.at), list(r.weight)), reverse=True)}
-    return [one[i] for i in sorted(one)], totals
+    # One vector per labelled id, however many rows repeat it.
+    first = F.min(F.struct("at", "weight", "label")).alias("r")
+    rows = texts.mapInPandas(vectors, "id long, label int, at binary, weight binary").groupBy("id").agg(first).select("id", "r.*")
+    return sorted(rows.collect(), key=lambda r: r.id), totals
 
 
 def fit(
@@ -180,20 +180,33 @@ def fit(
         return None
     counts, n = document_frequencies(docs, text_col)
     idf = (np.log((1 + n) / (1 + counts)) + 1).astype(np.float32)
-    terms = np.zeros((len(rows), TERMS), np.float32)
+    weighted = np.zeros((len(rows), TERMS), np.float32)
     for i, row in enumerate(rows):
-        terms[i, row.at] = row.weight
-    weighted = terms * idf
+        weighted[i, np.frombuffer(row["at"], "<i4")] = np.frombuffer(row["weight"], "<f4")
+    weighted *= idf
     weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
-    values, left = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
-    top = [i for i in np.argsort(-values)[:dimensions] if values[i] > 1e-9]
-    axes = (weighted.T @ (left[:, top] / np.sqrt(values[top]))).astype(np.float32)
+    axes = leading_axes(weighted, dimensions)
     y = np.array([r.label for r in rows], np.float32)
     sampled = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     stands_for = np.array([totals[r.label] / sampled[r.label] for r in rows], np.float32)
-    model = QualityModel(idf, axes, np.zeros((0, len(top)), np.float32), y, stands_for)
-    model.vectors = model.project(terms).astype(np.float32)
-    return model
+    latent = weighted @ axes
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    return QualityModel(idf, axes, latent, y, stands_for)
+
+
+def leading_axes(rows: np.ndarray, dimensions: int, passes: int = 6) -> np.ndarray:
+    """The leading right singular vectors as columns; fewer where the rows span less.
+
+    A random basis is multiplied by the rows and back a few times; the axes are then
+    found in its span. No product of all rows with each other is made.
+    """
+    width = min(*rows.shape, 2 * dimensions)
+    basis = np.random.default_rng(5).standard_normal((rows.shape[1], width)).astype(np.float32)
+    for _ in range(passes):
+        basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
+    _, values, turned = np.linalg.svd(rows @ basis, full_matrices=False)
+    keep = values[:dimensions] > 1e-4 * max(values[0], 1e-12)
+    return basis @ turned[: len(keep)][keep].T
 
 
 def with_score(docs: DataFrame, model: QualityModel | None, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -26,7 +26,8 @@ from riskloom.llm import store
 from riskloom.llm.memo import Memo
 
 SPACE = "▁"
-CACHED_WORDS = 350_000
+# Bytes of a generation of remembered words, and of remembered parts of words.
+WORD_BYTES, RUN_BYTES = 80 << 20, 24 << 20
 # Added to the lowest score for a character that no piece covers.
 _UNKNOWN_PENALTY = 10.0
 _NONE = float("-inf")
@@ -47,6 +48,7 @@ class Vocabulary:
         self.scores = {self.pieces[i]: float(model.get_score(i)) for i in normal}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.is_byte = np.array([model.is_byte(i) for i in range(n)])
         self.unknown_id = model.unk_id()
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.scores.values()) - _UNKNOWN_PENALTY
@@ -142,9 +144,9 @@ class StreamingViterbi:
 class PieceCodec:
     """Encodes and decodes whole texts."""
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, word_bytes: int = WORD_BYTES, run_bytes: int = RUN_BYTES):
         self.v = Vocabulary(path)
-        self.runs, self.words = Memo(cached), Memo(cached)  # words: by what stands behind a space
+        self.runs, self.words = Memo(run_bytes), Memo(word_bytes)  # words: by what stands behind a space
         # Whether a space is only ever the beginning of a piece or follows another space.
         self.cut_at_space = all(a == SPACE for a, b in self.v.joins if b == SPACE)
 
@@ -183,16 +185,19 @@ class PieceCodec:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces side by side, bytes joined, the first space taken off."""
+        ids = np.asarray(ids)
+        if not len(ids) or not self.v.is_byte[ids].any():
+            return "".join(map(self.v.pieces.__getitem__, ids.tolist())).replace(SPACE, " ").removeprefix(" ")
         parts, pending = [], bytearray()
-        for i in ids:
-            byte = self.v.byte_of.get(int(i))
+        for i in ids.tolist():
+            byte = self.v.byte_of.get(i)
             if byte is not None:
                 pending.append(byte)
                 continue
             if pending:
                 parts.append(pending.decode("utf-8", "replace"))
                 pending = bytearray()
-            parts.append(self.v.pieces[int(i)])
+            parts.append(self.v.pieces[i])
         parts.append(pending.decode("utf-8", "replace"))
         return "".join(parts).replace(SPACE, " ").removeprefix(" ")
 

@@ -8,6 +8,8 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskloom.functions.shipping import ship
+
 # Rows of at most this many are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,11 +45,13 @@ _BATCH_BYTES, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67
 
 
 def bounded_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
-    """The table, after bounding the bytes of a batch of rows that goes to Python.
+    """The table, after sending this package to the executors and bounding the bytes of a
+    batch of rows that goes to Python.
 
     Spark's 64 MB of text become several times as much in each worker. A bound
     that the session sets itself is kept.
     """
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get(_BATCH_BYTES) == _SPARK_DEFAULT:
         conf.set(_BATCH_BYTES, str(most))

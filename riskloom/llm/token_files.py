@@ -30,7 +30,8 @@ from riskloom.llm.memo import Memo
 CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
-CACHED_PIECES = 700_000
+# Bytes of a generation of remembered pieces.
+PIECE_BYTES = 96 << 20
 LONGEST_CACHED = 64
 # A letter of Western alphabets with marks behind it. The file never joins them.
 _MARKS_IN_A_ROW = re.compile(r"[^a-zß-öø-ÿ0-9\s][.,](?=[ \n])")
@@ -111,7 +112,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(CACHED_PIECES)
+        self.memo = Memo(PIECE_BYTES)
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.openings = {s[:2].lower() for s in specials}
 
@@ -220,7 +221,7 @@ def read_tokens(spark: SparkSession, folder: str, columns: str, summarise: Calla
     `start` counts the ids of all documents before it; `summarise` makes the further
     columns from a document's ids.
     """
-    stored = spark.read.schema(SEGMENT).parquet(folder)
+    stored = store.bounded_batches(spark.read.schema(SEGMENT).parquet(folder))
     sizes = store.written(stored.select("part", "segment", "n_tokens"))
     # Segments are few: one row for about a million tokens, summed by part first.
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))

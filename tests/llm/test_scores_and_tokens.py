@@ -174,7 +174,7 @@ def test_levels_at_random_places(high):
 
 
 def test_cache_of_words_may_overflow(monkeypatch, small):
-    monkeypatch.setattr(token_files, "CACHED_PIECES", 50)
+    monkeypatch.setattr(token_files, "PIECE_BYTES", 50 * 200)
     texts = [t for _, t in texts_of(small)[:30]]
     assert [list(x) for x in token_files.WordEncoder(WORDS).encode(texts)] == library_ids(texts)
 

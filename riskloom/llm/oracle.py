@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import sharding
+from riskloom.llm import fill_in_middle, sharding
 from riskloom.llm.line_dedup import FIXED_SHARE, LEADING, MIN_DOCS, MIN_WORDS, OWN_SURROUNDINGS
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -82,4 +82,28 @@ SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_filter(strin
 FROM documents, bad
 """
 
-ORACLE = {"op1_decontamination": OP1, "op2_sharding": OP2, "op10_line_dedup": OP10}
+def _draw(at: int) -> str:
+    return f"CAST('0x' || substr(h, {8 * at + 1}, 8) AS BIGINT)"
+
+
+OP12 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('{fill_in_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+),
+drawn AS (
+  SELECT *, len(u) AS n, least({_draw(0)} % (len(u) + 1), {_draw(1)} % (len(u) + 1)) AS low, greatest({_draw(0)} % (len(u) + 1), {_draw(1)} % (len(u) + 1)) AS high,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_draw(2)} % 100 >= {fill_in_middle.FIM_PERCENT} THEN 'plain'
+      WHEN {_draw(3)} % 100 < {fill_in_middle.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM d
+),
+parts AS (
+  SELECT *, array_to_string(u[1:low], '') AS prefix, array_to_string(u[low + 1:high], '') AS middle, array_to_string(u[high + 1:], '') AS suffix FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form != 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(prefix || middle || suffix) AS restored_sha256
+FROM parts
+"""
+
+ORACLE = {"op1_decontamination": OP1, "op2_sharding": OP2, "op10_line_dedup": OP10, "op12_fill_in_middle": OP12}

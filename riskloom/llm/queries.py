@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.llm import (
-    decontamination, line_dedup, ngram_join, quality_classifier, quality_rules, sentence_pieces, sharding, store,
+    conversation_repair, decontamination, fill_in_middle, line_dedup, ngram_join, quality_classifier, quality_rules, sentence_pieces, sharding, store,
     substring_dedup, token_files, toxicity,
 )
 
@@ -104,9 +104,41 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring_lines(docs, count_col="n_dropped")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text arranged for filling in the middle, and put back from that."""
+    docs = store.named(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    made = fill_in_middle.with_fim(docs).select("doc_id", "fim")
+    back = fill_in_middle.with_restored(made, F.col("fim.output"), F.col("fim.form"))
+    facts = ["n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    return back.select("doc_id", *[F.col(f"fim.{c}").alias(c) for c in facts], F.col("restored.sha256").alias("restored_sha256"))
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the faults that a digest of conversation and turn calls for."""
+    conv, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    kind = store.crc_remainder(F.concat(conv, F.lit(":"), turn), 20)
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    rows = rows.withColumn("kind", kind).where("kind != 0")
+    made = rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(role).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))),
+    )
+    return made.drop("col")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage."""
+    rows = store.named(_table(spark, sf_dir, "conversations"), conv_id="conv_id", turn="turn", role="role", text="text")
+    repaired = conversation_repair.repair(_damaged(rows)).withColumnRenamed("conv_id", "id")
+    ids = rows.select("conv_id").distinct()
+    filled = {c: F.lit(0).cast("long") for c in conversation_repair.COUNTS} | {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return ids.join(repaired, F.col("conv_id").eqNullSafe(F.col("id")), "left").select("conv_id", *[F.coalesce(c, v).alias(c) for c, v in filled.items()])
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_decontamination, op2_sharding, op3_ngram_join, op4_token_files, op5_quality, op6_toxicity,
-        op7_quality_rules, op8_sentence_pieces, op9_substring_dedup, op10_line_dedup,
+        op7_quality_rules, op8_sentence_pieces, op9_substring_dedup, op10_line_dedup, op12_fill_in_middle, op13_conversation_repair,
     )
 }

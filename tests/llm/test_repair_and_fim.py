@@ -1,0 +1,238 @@
+"""Operators 12 and 13 against plain versions."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import pytest
+
+from riskloom.llm import conversation_repair, fill_in_middle, queries, repair_grammar as grammar
+
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def plain_repair(rows):
+    """(cost, audit, lines) by a search over all positions of the pattern, row by row."""
+    seen, faults = set(), []
+    for role, text in rows:
+        body = text.strip(WHITE)
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    ways = {0: (0, "", ())}
+
+    def insert(ways):
+        for _ in range(3):
+            for (p, c), q in grammar.STEPS.items():
+                if c in "ua" and p in ways:
+                    cost, audit, lines = ways[p]
+                    way = (cost + 3, audit + "I", lines + ({"u": "user:", "a": "assistant:"}[c],))
+                    ways[q] = min(ways.get(q, way), way, key=lambda w: w[:2])
+        return ways
+
+    for (role, text), fault in zip(rows, faults):
+        new = {}
+
+        def put(q, way):
+            new[q] = min(new.get(q, way), way, key=lambda w: w[:2])
+
+        for p, (cost, audit, lines) in insert(ways).items():
+            put(p, (cost + 4, audit + "D", lines))
+            if fault in ("blank", "duplicate"):
+                continue
+            extra = 3 if fault == "truncated" else 0
+            for (at, c), q in grammar.STEPS.items():
+                if at == p and c == role[:1]:
+                    put(q, (cost + extra, audit + "K", lines + (f"{role}:{text}",)))
+                if at == p and c in "ua":
+                    name = {"u": "user", "a": "assistant"}[c]
+                    put(q, (cost + 3 + extra, audit + "R", lines + (f"{name}:{text}",)))
+        ways = new
+    ways = insert(ways)
+    cost, audit, lines = min((ways[e] for e in (0, 3) if e in ways), key=lambda w: w[:2])
+    counts = {f: faults.count(f) for f in ("blank", "duplicate", "truncated")}
+    illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return {**counts, "illegal": illegal, "cost": cost, "audit": audit, "repaired_sha256": hashlib.sha256("\n".join(lines).encode()).hexdigest()}, lines
+
+
+def damaged(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def by_conversation(rows):
+    convs = {}
+    for conv, turn, role, text in rows:
+        convs.setdefault(conv, []).append((turn is not None, turn or 0, role, hashlib.md5(text.encode()).hexdigest(), text))
+    return {c: sorted(r) for c, r in convs.items()}
+
+
+def expected_report(rows):
+    turns = {r[1] for r in rows if r[0]}
+    report, lines = plain_repair([(r[2], r[4]) for r in rows])
+    return {**report, "gaps": max(turns) - min(turns) + 1 - len(turns) if turns else 0}, lines
+
+
+ROLES, TEXTS = ["system", "user", "assistant", "tool", "", "user"], ["Yes.", "No", " ", "", "Why? \n", "Yes."]
+
+
+def random_conversation(rng, n):
+    return [(rng.choice(ROLES), rng.choice(TEXTS) + (str(rng.randrange(3)) if rng.random() < 0.3 else "")) for _ in range(n)]
+
+
+def test_cells_equal_every_repair():
+    rng = random.Random(3)
+    for n in [0, 1, 2, 3, 5, 8, 13, 40]:
+        for _ in range(40):
+            rows = random_conversation(rng, n)
+            want, _ = plain_repair(rows)
+            chunk = conversation_repair._Chunk("=1")
+            for role, text in rows:
+                body = text.strip(WHITE)
+                chunk.add(role, text, body[-1:], 0)
+            assert grammar.best(grammar.span_cells(bytes(chunk.codes))) == (want["cost"], want["audit"])
+
+
+def test_chart_of_all_spans_and_splits():
+    rng = random.Random(4)
+    for _ in range(60):
+        codes = bytes(rng.choice([0, 4, 8, 12, 1, 5, 9, 2, 7]) for _ in range(rng.randrange(1, 7)))
+        chart = {(i, i + 1): grammar.row_cells(c) for i, c in enumerate(codes)}
+        for size in range(2, len(codes) + 1):
+            for i in range(len(codes) - size + 1):
+                options = [grammar.product(chart[i, k], chart[k, i + size]) for k in range(i + 1, i + size)]
+                chart[i, i + size] = {key: min(o[key] for o in options if key in o) for key in set().union(*options)}
+        assert grammar.span_cells(codes) == chart[0, len(codes)]
+
+
+def test_cheapest_of_all_edit_lists():
+    """Every list of edits of short conversations, with up to three insertions anywhere."""
+    for roles in itertools.product(["system", "user", "assistant", "x"], repeat=3):
+        codes = bytes(grammar.code(r, f) for r, f in zip(roles, (grammar.FINE, grammar.TRUNCATED, grammar.FINE)))
+        found = []
+        for edits in itertools.product("KRD", repeat=3):
+            for slots in itertools.product(range(3), repeat=4):
+                audit = "".join("I" * s + e for s, e in zip(slots, edits)) + "I" * slots[3]
+                try:
+                    last = grammar.NOTHING
+                    for *_, last in grammar.walk(audit, list(roles)):
+                        pass
+                except KeyError:
+                    continue
+                if last in grammar.ENDS:
+                    cost = sum({"K": 0, "R": 3, "D": 4, "I": 3}[e] for e in audit) + 3 * (edits[1] != "D")
+                    found.append((cost, audit))
+        assert grammar.best(grammar.span_cells(codes)) == min(found)
+
+
+@pytest.mark.parametrize("chunk_rows,chunk_chars", [(1024, 1 << 20), (3, 1 << 20), (1024, 20)])
+def test_repair_of_tables(spark, chunk_rows, chunk_chars):
+    rng = random.Random(7)
+    rows = []
+    for conv in [None, *range(30)]:
+        for role, text in random_conversation(rng, rng.choice([1, 2, 5, 9, 60])):
+            rows.append((conv, rng.choice([None, 0, 1, 2, 3, 5, 9, 40]), rng.choice([role, role, role, None]), rng.choice([text, text, None])))
+    rows += [(99, t, "user", "Same.") for t in range(300)]  # one conversation of repeated rows
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, key int, seq string")
+    found = {r["conv_id"]: r.asDict() for r in conversation_repair.repair(table.repartition(5), chunk_rows=chunk_rows, chunk_chars=chunk_chars).collect()}
+    filled = [(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in rows]
+    want = by_conversation(filled)
+    assert set(found) == set(want)
+    turns = conversation_repair.repaired_turns(table, chunk_rows=chunk_rows, chunk_chars=chunk_chars).orderBy("chunk", "at").collect()
+    for conv, own in want.items():
+        report, lines = expected_report(own)
+        assert {k: v for k, v in found[conv].items() if k != "conv_id"} == report, conv
+        assert [f"{t.role}:{t.text}" for t in turns if t.conv_id == conv] == list(lines)
+
+
+def test_repair_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "conv_id string, turn long, role string, text string")
+    assert conversation_repair.repair(empty).collect() == []
+    assert conversation_repair.repaired_turns(empty).collect() == []
+
+
+def test_op13_by_plain_version(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    want = by_conversation(damaged(rows))
+    found = queries.op13_conversation_repair(spark, small).collect()
+    assert sorted(r.conv_id for r in found) == sorted({r[0] for r in rows})
+    for row in found:
+        report, _ = expected_report(want.get(row.conv_id, []))
+        assert {k: v for k, v in row.asDict().items() if k != "conv_id"} == report
+
+
+def test_op13_of_odd_rows(spark, tmp_path):
+    rows = [(c, t, r, x) for c in (None, 3, 4, 5) for t in (None, 0, 1, 7) for r, x in [("user", "Hi."), (None, None), ("assistant", "Well")]]
+    rows += [(c, 0, "user", "One.") for c in range(100, 160)]  # some lose their only row
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = by_conversation(damaged(rows))
+    found = queries.op13_conversation_repair(spark, str(tmp_path)).collect()
+    assert len(found) == len({r[0] for r in rows})
+    empty = 0
+    for row in found:
+        report, _ = expected_report(want.get(row.conv_id, []))
+        assert {k: v for k, v in row.asDict().items() if k != "conv_id"} == report
+        empty += row.conv_id not in want
+    assert empty
+
+
+# --- fill in the middle ---------------------------------------------------
+
+def plain_fim(doc_id, text):
+    text = text or ""
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    n, digest = len(units), hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    sha = hashlib.sha256(text.encode()).hexdigest()
+    if not text or "<P>" in text or "<S>" in text or "<M>" in text or h[2] % 100 >= 90:
+        return (doc_id, n, "plain", None, None, sha, sha)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    prefix, middle, suffix = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    form = "spm" if h[3] % 100 < 20 else "psm"
+    out = f"<S>{suffix}<P>{prefix}<M>{middle}" if form == "spm" else f"<P>{prefix}<S>{suffix}<M>{middle}"
+    return (doc_id, n, form, len(prefix), len(middle), hashlib.sha256(out.encode()).hexdigest(), sha)
+
+
+ODD = [None, "", "a", "<", "<P", "P>", "<<P>", "x<S>y", "<M", "ab12 cd\n\n<S", "é日本 ñandú\U0001f600x", "\r\n\t ", "<P<S<M", "Word" * 3000 + " 9" * 4000]
+
+
+def test_op12_by_plain_version(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = sorted(plain_fim(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    assert sorted(tuple(r) for r in queries.op12_fill_in_middle(spark, small).collect()) == want
+
+
+def test_op12_of_odd_texts(spark, tmp_path):
+    rows = [(i, ODD[i % len(ODD)]) for i in range(8 * len(ODD))] + [(None, "no id"), (5, ODD[5]), (5, ODD[5])]
+    table = spark.createDataFrame([(*r, "kept", 1) for r in rows], "doc_id long, text string, fim string, restored int")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    found = sorted((tuple(r) for r in queries.op12_fill_in_middle(spark, str(tmp_path)).collect()), key=str)
+    assert found == sorted((plain_fim(*r) for r in rows), key=str), key
+    whole = fill_in_middle.with_fim(table, into="made")
+    assert whole.columns == ["doc_id", "text", "fim", "restored", "made"] and whole.where("fim != 'kept'").count() == 0
+    back = fill_in_middle.with_restored(whole, whole["made.output"], whole["made.form"], into="back")
+    assert back.where("back.text != coalesce(text, '')").count() == 0
+    assert fill_in_middle.with_fim(table.limit(0)).collect() == []
+
+
+def test_piece_tables_restore_any_order():
+    rng = random.Random(1)
+    for _ in range(200):
+        data = bytes(rng.randrange(97, 123) for _ in range(rng.randrange(0, 30)))
+        places = sorted(rng.randrange(len(data) + 1) for _ in range(rng.randrange(0, 5)))
+        table = fill_in_middle.PieceTable.of(data).cut(places)
+        assert len(table.pieces) == len(places) + 1 and table.bytes() == data
+        order = list(range(len(table.pieces)))
+        rng.shuffle(order)
+        turned = table.arranged(tuple(order))
+        assert turned.arranged(fill_in_middle.inverse(tuple(order))).bytes() == data
+        assert turned.sha256() == hashlib.sha256(turned.bytes()).hexdigest()

@@ -180,7 +180,7 @@ def test_cache_of_words_may_overflow(monkeypatch, small):
 
 
 def test_streaming_path_is_the_best_path(small):
-    codec = sentence_pieces.PieceCodec(PIECES, cached=500)
+    codec = sentence_pieces.PieceCodec(PIECES, word_bytes=500 * 200, run_bytes=500 * 200)
     for text in [t for _, t in texts_of(small)[:40]] + ODD:
         ids = codec.encode(text)
         assert ids.tolist() == brute.best_path(codec.v, text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.llm import (
-    conversation_repair, decontamination, fill_in_middle, line_dedup, ngram_join, quality_classifier, quality_rules, sentence_pieces, sharding, store,
+    conversation_repair, decontamination, fill_in_middle, language_model, line_dedup, ngram_join, quality_classifier, quality_rules, sentence_pieces, sharding, store,
     substring_dedup, token_files, toxicity,
 )
 
@@ -104,6 +104,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring_lines(docs, count_col="n_dropped")
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of every text by the contexts of the texts to learn from."""
+    held_out = store.crc_remainder(F.col("doc_id"), 7) == 2
+    scored = language_model.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text arranged for filling in the middle, and put back from that."""
     docs = store.named(_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
@@ -139,6 +146,6 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_decontamination, op2_sharding, op3_ngram_join, op4_token_files, op5_quality, op6_toxicity,
-        op7_quality_rules, op8_sentence_pieces, op9_substring_dedup, op10_line_dedup, op12_fill_in_middle, op13_conversation_repair,
+        op7_quality_rules, op8_sentence_pieces, op9_substring_dedup, op10_line_dedup, op11_language_model, op12_fill_in_middle, op13_conversation_repair,
     )
 }

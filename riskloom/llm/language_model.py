@@ -30,7 +30,7 @@ ORDER = 5
 SYMBOL_BITS = 9
 BOUNDARY = 256  # before a text, and its end
 SYMBOLS = 257
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 SLICE = 1 << 20
 BUCKETS = 256
 # Packs whose questions one task answers at most, for one bucket.
@@ -55,6 +55,18 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(columns.reshape(8, -1).T).view("<i8").ravel()
 
 
+def packed_text(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpacked_text(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def packed_codes(codes: np.ndarray) -> bytes:
     """Ascending codes by their differences (modulo 2^64)."""
     return packed(np.diff(codes, prepend=np.int64(0)))
@@ -156,10 +168,12 @@ def words_of(data: bytes, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _packs(docs: DataFrame, learn: Column, id_col: str, text_col: str, pack_bytes: int) -> DataFrame:
-    """Packs of whole texts, those to learn from first: batch, n_learn, ids, ends and all bytes."""
+    """Packs of whole texts, those to learn from first: batch, n_learn, ids, ends and all bytes, compressed."""
     schema = "batch long, n_learn long, ids array<string>, learn array<boolean>, ends binary, data binary"
-    rows = store.named(docs.withColumn("__learn", F.coalesce(learn, F.lit(False))), id=id_col, text=text_col, learn="__learn")
-    rows = rows.select(F.col("id").cast("string").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), "learn")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    rows = store.bounded_batches(docs).select(
+        F.col(f"`{id_col}`").cast("string").alias("id"), text.alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -171,7 +185,7 @@ def _packs(docs: DataFrame, learn: Column, id_col: str, text_col: str, pack_byte
             ends = np.cumsum([len(r[2]) for r in own], dtype=np.int64)
             return pd.DataFrame({
                 "batch": [batch], "n_learn": [sum(bool(r[1]) for r in own)], "ids": [[r[0] for r in own]], "learn": [[bool(r[1]) for r in own]],
-                "ends": [ends.astype("<i8").tobytes()], "data": [b"".join(r[2] for r in own)],
+                "ends": [ends.astype("<i8").tobytes()], "data": [packed_text(b"".join(r[2] for r in own))],
             })
 
         for piece in store.pieces(batches):
@@ -210,8 +224,8 @@ def _count(packs: DataFrame, salts: int, order: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                ends = np.frombuffer(row.ends, "<i8")
-                symbol, starts = symbols(row.data, ends, order)
+                ends, data = np.frombuffer(row.ends, "<i8"), unpacked_text(row.data)
+                symbol, starts = symbols(data, ends, order)
                 lengths, learns = np.diff(ends, prepend=0), np.asarray(row.learn, bool)
                 grams, pairs, words = Counter(), Counter(), Counter()
                 for begin in range(order, len(symbol) - 1, SLICE):
@@ -221,7 +235,7 @@ def _count(packs: DataFrame, salts: int, order: int) -> DataFrame:
                     grams.add(codes[known], 1)
                     grams.add(codes[~known], 0)
                     pairs.add(codes[known] & ((1 << 2 * SYMBOL_BITS) - 1), 1)
-                for found, owner in words_of(*_spaced(row.data, ends)):
+                for found, owner in words_of(*_spaced(data, ends)):
                     known = learns[owner]
                     words.add(found[known], 1)
                     words.add(found[~known], 0)
@@ -367,20 +381,20 @@ def _score(packs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
     def run(pack: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         frames = []
         for row in pack.itertuples():
-            ends = np.frombuffer(row.ends, "<i8")
+            ends, data = np.frombuffer(row.ends, "<i8"), unpacked_text(row.data)
             n, lengths = len(ends), np.diff(ends, prepend=0)
             grams, words = own[own["family"] == _GRAM], own[own["family"] == _WORD]
             codes, logs = _sorted(grams["codes"], [np.frombuffer(v, "<f4") for v in grams["values"]])
             hashes, counts = _sorted(words["codes"], [unpacked(v) for v in words["values"]])
             score, word_logs = np.zeros(n), np.zeros(n)
             n_words, n_known = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            symbol, starts = symbols(row.data, ends, order)
+            symbol, starts = symbols(data, ends, order)
             for begin in range(order, len(symbol) - 1, SLICE):
                 end = min(begin + SLICE, len(symbol) - 1)
                 places, owner = predicted(starts, lengths, begin, end)
                 found = logs[np.searchsorted(codes, gram_codes(symbol, begin, end, order)[places])]
                 score += np.bincount(owner, weights=found, minlength=n)
-            for found, owner in words_of(*_spaced(row.data, ends)):
+            for found, owner in words_of(*_spaced(data, ends)):
                 count = counts[np.searchsorted(hashes, found)] if len(found) else np.zeros(0, np.int64)
                 word_logs += np.bincount(owner, weights=np.log10(count + 1.0), minlength=n)
                 n_words += np.bincount(owner, minlength=n)

@@ -214,6 +214,7 @@ def contaminated() -> Column:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that are not contaminated, all columns as they were."""
-    judged = contamination(docs, items, id_col, text_col, **options).where(contaminated()).select(F.col("doc").alias("__doc"))
+    (own,) = store.new_names(docs, "doc")
+    judged = contamination(docs, items, id_col, text_col, **options).where(contaminated()).select(F.col("doc").alias(own))
     bad = store.written(judged.distinct())
-    return docs.join(store.few(bad), row_key(id_col, text_col) == F.col("__doc"), "left_anti")
+    return docs.join(store.few(bad), row_key(id_col, text_col) == F.col(own), "left_anti")

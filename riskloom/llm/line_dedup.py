@@ -6,6 +6,11 @@ in the same position is fixed, any other is a variable field. The lines of a
 leaf with the same fixed words share a template. A template that recurs across
 documents is dropped wherever it stands - unless the documents are copies of one
 another, which their other lines show: then the template belongs to the text.
+Only lines that do not recur themselves tell: boilerplate that stands together
+does not make its holders alike, and a document that consists mostly of recurring
+lines is no evidence for any template.
+
+Lines are told apart by their md5, words within a leaf by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +28,10 @@ FIXED_SHARE = 0.75
 FIXED_WORDS = 2
 # Of the different texts with a template, so many must differ in their other lines.
 OWN_SURROUNDINGS = 0.5
-_WORD = r"[^\x20\x09-\x0D]+"
+# A document is evidence when so many of its different lines do not recur.
+OWN_LINES = 0.5
+# White space within a line; the line end itself cuts lines.
+_INNER_WHITE = "\t\x0b\x0c\r"
 
 
 def lines_of(text: Column) -> Column:
@@ -31,56 +39,73 @@ def lines_of(text: Column) -> Column:
 
 
 def line_words(line: Column) -> Column:
-    """The words of a line, every word with a digit as the same variable field."""
-    words = F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))
-    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))
+    words = F.split(F.translate(line, _INNER_WHITE, " " * len(_INNER_WHITE)), " ")
+    return F.filter(words, lambda w: w != "")
+
+
+def _variable(word: Column) -> Column:
+    return word.rlike("[0-9]")
+
+
+def _leaf(words: Column) -> Column:
+    """The place in the tree; null for lines of too few words."""
+    leading = F.transform(F.slice(words, 1, LEADING), lambda w: F.when(_variable(w), "<*>").otherwise(w))
+    return F.when(F.size(words) >= MIN_WORDS, F.xxhash64(F.size(words), leading))
 
 
 def tree_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, copy, at, line, words, leaf, around for every line long enough.
+    """doc, copy, line, digest, leaf: every different line of every document.
 
-    `around` stands for the other lines of the document: the smallest digest among
-    them. Equal in copies, different in texts that share little. `copy` is the same in
-    documents of equal text.
+    `copy` is the same in documents of equal text.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(row_key(id_col, text_col).alias("doc"), F.xxhash64(text).alias("copy"), lines_of(text).alias("__lines"))
-    low = F.slice(F.array_sort(F.array_distinct(F.transform("__lines", lambda x: F.md5(x)))), 1, 2)
-    lines = (
-        rows.select("doc", "copy", "__lines", low.alias("low")).select("doc", "copy", "low", F.posexplode("__lines").alias("at", "line"))
-        .withColumn("digest", F.md5("line")).withColumn("words", line_words(F.col("line")))
-        .where(F.size("words") >= MIN_WORDS)
+    rows = docs.select(row_key(id_col, text_col).alias("doc"), F.xxhash64(text).alias("copy"), F.array_distinct(lines_of(text)).alias("lines"))
+    lines = rows.select("doc", "copy", F.explode("lines").alias("line"))
+    return lines.select("doc", "copy", "line", F.unhex(F.md5("line")).alias("digest"), _leaf(line_words(F.col("line"))).alias("leaf"))
+
+
+def _surroundings(lines: DataFrame, min_docs: int) -> DataFrame:
+    """doc, low, high: the least and the greatest digest of the lines that do not recur in
+    `min_docs` texts, for documents of which such lines are the larger part."""
+    often = store.few(store.written(lines.groupBy("digest").count().where(F.col("count") >= min_docs).select("digest")))
+    recurring = (
+        lines.join(often, "digest", "left_semi").groupBy("digest").agg(F.count_distinct("copy").alias("n"))
+        .where(F.col("n") >= min_docs).select("digest", F.lit(True).alias("recurs"))
     )
-    around = F.when(F.get("low", F.lit(0)) == F.col("digest"), F.coalesce(F.get("low", F.lit(1)), F.lit(""))).otherwise(F.get("low", F.lit(0)))
-    leaf = F.xxhash64(F.size("words"), F.slice("words", 1, LEADING))
-    return lines.select("doc", "copy", "at", "digest", "words", leaf.alias("leaf"), around.alias("around"))
+    marked = lines.join(store.few(store.written(recurring)), "digest", "left")
+    own = F.when(F.col("recurs").isNull(), F.col("digest"))
+    each = marked.groupBy("doc").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count(own).alias("own"), F.count("*").alias("all"))
+    return each.where(F.col("own") >= OWN_LINES * F.col("all")).select("doc", "low", "high")
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, fixed_share: float) -> DataFrame:
     """digest, template of the different lines that belong to a recurring template."""
-    lines = tree_lines(docs, id_col, text_col)
-    busy = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    seen = lines.join(store.few(store.written(busy)), "leaf", "left_semi")
-    # Each different line once, with the number of documents that have it.
-    each = store.written(seen.select("leaf", "digest", "words", "doc", "copy", "around").groupBy("digest", "doc").agg(
-        F.first("leaf").alias("leaf"), F.first("words").alias("words"), F.first("around").alias("around"), F.first("copy").alias("copy"),
-    ))
-    different = store.written(each.groupBy("digest").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words"), F.count("*").alias("docs")))
-    plain = F.size(F.filter("words", lambda w: w != "<*>"))
-    placed = different.select("digest", "leaf", "docs", plain.alias("plain"), F.posexplode("words").alias("pos", "word"))
+    tree = tree_lines(docs, id_col, text_col)
+    lines = store.written(tree.drop("line"))
+    busy = lines.where("leaf is not null").groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    # Each different line of a busy leaf once: its words as hashes, 0 for a variable field.
+    hashed = F.transform(line_words(F.col("line")), lambda w: F.when(_variable(w), F.lit(0)).otherwise(F.xxhash64(w)))
+    seen = tree.select("digest", "leaf", "line").join(store.few(store.written(busy)), "leaf", "left_semi")
+    different = store.written(
+        seen.select("digest", "leaf", hashed.alias("words"))
+        .groupBy("digest").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words"), F.count("*").alias("docs"))
+    )
+    plain = F.size(F.filter("words", lambda w: w != 0))
+    placed = different.select("digest", "leaf", "docs", plain.alias("plain"), F.posexplode("words").alias("pos", "word")).where("word != 0")
     fixed = placed.groupBy("leaf", "pos", "word").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "word")
     of_words = (
-        placed.where("word != '<*>'").join(fixed, ["leaf", "pos", "word"])
+        placed.join(fixed, ["leaf", "pos", "word"])
         .groupBy("digest", "leaf", "plain").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("kept"))
         .where((F.size("kept") >= fixed_share * F.col("plain")) & (F.size("kept") >= FIXED_WORDS))
         .select("digest", F.md5(F.to_json(F.struct("leaf", "kept"))).alias("template"))
     )
     # With fewer fixed words a line is a template only as it stands.
-    as_it_stands = different.where((F.col("docs") >= min_docs) & (plain < FIXED_WORDS)).select("digest", F.col("digest").alias("template"))
-    template = of_words.unionByName(as_it_stands)
-    template = store.written(template)
+    as_it_stands = different.where((F.col("docs") >= min_docs) & (plain < FIXED_WORDS)).select("digest", F.hex("digest").alias("template"))
+    template = store.written(of_words.unionByName(as_it_stands))
+    around = F.when(F.col("low") != F.col("digest"), F.col("low")).when(F.col("high") != F.col("digest"), F.col("high"))
+    held = lines.select("digest", "doc", "copy").join(store.few(template), "digest").join(_surroundings(lines, min_docs), "doc")
     recurring = (
-        each.select("digest", "copy", "around").join(store.few(template), "digest")
+        held.select("template", "copy", around.alias("around")).where("around is not null")
         .groupBy("template").agg(F.count_distinct("copy").alias("n"), F.count_distinct("around").alias("own"))
         .where((F.col("n") >= min_docs) & (F.col("own") >= min_docs) & (F.col("own") >= OWN_SURROUNDINGS * F.col("n")))
         .select("template")
@@ -96,20 +121,22 @@ def drop_recurring_lines(
 
     The other lines keep their order. A text of which nothing stays is empty, a
     null stays null, and rows are never dropped. Lines of fewer than MIN_WORDS
-    words are left alone. With `count_col`, that column (replaced if it exists)
-    has the number of dropped lines. Rows equal in id and text count as one
-    document.
+    words are left alone, and so are lines of which no other line of their documents
+    tells anything (texts of one line, texts of recurring lines only). With `count_col`,
+    that column (replaced if it exists) has the number of dropped lines. Rows equal in
+    id and text count as one document. Columns may have any names.
     """
     text = F.col(f"`{text_col}`").cast("string")
     bad = store.written(recurring_lines(docs, id_col, text_col, min_docs, fixed_share).select("digest"))
     lines = docs.select(row_key(id_col, text_col).alias("doc"), F.posexplode(lines_of(text)).alias("at", "line"))
+    doc, out = store.new_names(docs, "doc", "cut")
     cut = (
-        lines.select("doc", "at", F.md5("line").alias("digest")).join(store.few(bad), "digest", "left_semi")
-        .groupBy("doc").agg(F.collect_set("at").alias("__cut")).withColumnRenamed("doc", "__doc")
+        lines.select("doc", "at", F.unhex(F.md5("line")).alias("digest")).join(store.few(bad), "digest", "left_semi")
+        .groupBy("doc").agg(F.collect_set("at").alias(out)).withColumnRenamed("doc", doc)
     )
-    rest = F.array_join(F.filter(lines_of(text), lambda x, i: ~F.array_contains("__cut", i)), "\n")
-    joined = docs.join(store.few(store.written(cut)), row_key(id_col, text_col) == F.col("__doc"), "left")
-    columns = [F.when(F.col("__cut").isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col]
+    rest = F.array_join(F.filter(lines_of(text), lambda x, i: ~F.array_contains(out, i)), "\n")
+    joined = docs.join(store.few(store.written(cut)), row_key(id_col, text_col) == F.col(doc), "left")
+    columns = [F.when(F.col(out).isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col]
     if count_col:
-        columns.append(F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias(count_col))
+        columns.append(F.coalesce(F.size(out), F.lit(0)).cast("long").alias(count_col))
     return joined.select(*columns)

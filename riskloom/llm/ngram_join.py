@@ -278,6 +278,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text are one document, of which one row stays.
     """
     found = similar_components(docs, id_col, text_col, **options)
-    copies = store.written(found.where("n > 0 and id is not null and id != component").select(F.col("id").alias("__id")).distinct())
-    rest = docs.join(store.few(copies), F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    (own,) = store.new_names(docs, "id")
+    copies = store.written(found.where("n > 0 and id is not null and id != component").select(F.col("id").alias(own)).distinct())
+    rest = docs.join(store.few(copies), F.col(f"`{id_col}`") == F.col(own), "left_anti")
     return rest

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from riskloom.llm import fill_in_middle, sharding
-from riskloom.llm.line_dedup import FIXED_SHARE, LEADING, MIN_DOCS, MIN_WORDS, OWN_SURROUNDINGS
+from riskloom.llm.line_dedup import FIXED_SHARE, FIXED_WORDS, LEADING, MIN_DOCS, MIN_WORDS, OWN_LINES, OWN_SURROUNDINGS
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all(coalesce({_FOLD}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -55,33 +55,42 @@ _MASKED = r"list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda
 
 OP10 = f"""
 WITH texts AS (
-  SELECT md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text) AS doc, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+  SELECT DISTINCT md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text) AS doc, md5(text) AS copy, list_distinct(string_split(text, chr(10))) AS lines
+  FROM documents WHERE text IS NOT NULL
+),
+line_rows AS (SELECT doc, copy, unnest(lines) AS line FROM texts),
+common AS (SELECT line, true AS recurs FROM line_rows GROUP BY line HAVING count(DISTINCT copy) >= {MIN_DOCS}),
+own AS (
+  SELECT doc, min(md5(line)) FILTER (recurs IS NULL) AS low, max(md5(line)) FILTER (recurs IS NULL) AS high
+  FROM line_rows LEFT JOIN common USING (line) GROUP BY doc HAVING count(*) FILTER (recurs IS NULL) >= {OWN_LINES} * count(*)
 ),
-low AS (SELECT doc, lines, list_sort(list_distinct(list_transform(lines, lambda x: md5(x))))[1:2] AS low FROM texts),
-line_rows AS (SELECT DISTINCT doc, low, unnest(lines) AS line FROM low),
 tree AS (
-  SELECT doc, line, w, len(w) AS n, w[1:{LEADING}] AS lead,
-    CASE WHEN low[1] = md5(line) THEN coalesce(low[2], '') ELSE low[1] END AS around
-  FROM (SELECT doc, low, line, {_MASKED} AS w FROM line_rows) WHERE len(w) >= {MIN_WORDS}
+  SELECT doc, copy, line, w, len(w) AS n, w[1:{LEADING}] AS lead, len(list_filter(w, lambda x: x != '<*>')) AS plain
+  FROM (SELECT doc, copy, line, {_MASKED} AS w FROM line_rows) WHERE len(w) >= {MIN_WORDS}
 ),
-different AS (SELECT line, any_value(w) AS w, any_value(n) AS n, any_value(lead) AS lead, count(*) AS docs FROM tree GROUP BY line),
-placed AS (SELECT line, n, lead, docs, unnest(range(n)) AS pos, unnest(w) AS word FROM different),
-fixed AS (SELECT n, lead, pos, word FROM placed GROUP BY n, lead, pos, word HAVING sum(docs) >= {MIN_DOCS} AND word != '<*>'),
+different AS (SELECT line, any_value(w) AS w, any_value(n) AS n, any_value(lead) AS lead, any_value(plain) AS plain, count(*) AS docs FROM tree GROUP BY line),
+placed AS (SELECT line, n, lead, plain, docs, unnest(range(n)) AS pos, unnest(w) AS word FROM different),
+fixed AS (SELECT n, lead, pos, word FROM placed WHERE word != '<*>' GROUP BY n, lead, pos, word HAVING sum(docs) >= {MIN_DOCS}),
 template AS (
-  SELECT line, n, lead, list((pos, word) ORDER BY pos) AS kept FROM placed JOIN fixed USING (n, lead, pos, word)
-  GROUP BY line, n, lead HAVING count(*) >= {FIXED_SHARE} * n
+  SELECT line, CAST((n, lead, list((pos, word) ORDER BY pos)) AS VARCHAR) AS template FROM placed JOIN fixed USING (n, lead, pos, word)
+  GROUP BY line, n, lead, plain HAVING count(*) >= {FIXED_SHARE} * plain AND count(*) >= {FIXED_WORDS}
+  UNION ALL SELECT line, line FROM different WHERE plain < {FIXED_WORDS} AND docs >= {MIN_DOCS}
+),
+held AS (
+  SELECT template, copy, CASE WHEN low != md5(line) THEN low WHEN high != md5(line) THEN high END AS around
+  FROM template JOIN tree USING (line) JOIN own USING (doc)
 ),
 recurring AS (
-  SELECT n, lead, kept FROM template JOIN (SELECT line, doc, around FROM tree) USING (line) GROUP BY n, lead, kept
-  HAVING count(DISTINCT doc) >= {MIN_DOCS} AND count(DISTINCT around) >= {MIN_DOCS}
-    AND count(DISTINCT around) >= {OWN_SURROUNDINGS} * count(DISTINCT doc)
+  SELECT template FROM held WHERE around IS NOT NULL GROUP BY template
+  HAVING count(DISTINCT copy) >= {MIN_DOCS} AND count(DISTINCT around) >= {MIN_DOCS} AND count(DISTINCT around) >= {OWN_SURROUNDINGS} * count(DISTINCT copy)
 ),
-bad AS (SELECT list(line) AS bad FROM template JOIN recurring USING (n, lead, kept))
+bad AS (SELECT list(line) AS bad FROM template JOIN recurring USING (template))
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), x)), chr(10)) END AS text,
   CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(string_split(text, chr(10)), lambda x: list_contains(coalesce(bad, []), x))) END AS n_dropped
 FROM documents, bad
 """
 
+
 def _draw(at: int) -> str:
     return f"CAST('0x' || substr(h, {8 * at + 1}, 8) AS BIGINT)"
 

@@ -168,11 +168,11 @@ def with_posterior(voted: DataFrame, model: LabelModel | None, pattern_col: str
     if model is None:
         return voted.withColumn(into, F.lit(0.5))
     patterns = [r.p for r in voted.select(F.col(pattern_col).alias("p")).distinct().orderBy("p").collect()]
-    table = voted.sparkSession.createDataFrame(
-        [(p, float(x)) for p, x in zip(patterns, model.posterior(patterns))], "__pattern string, __posterior double"
-    )
+    pattern, posterior = store.new_names(voted, "pattern", "posterior")
+    known = [(p, float(x)) for p, x in zip(patterns, model.posterior(patterns))]
+    table = voted.sparkSession.createDataFrame(known, f"{pattern} string, {posterior} double")
     kept = [F.col(f"`{c}`") for c in voted.columns if c != into]
-    return voted.join(F.broadcast(table), F.col(pattern_col) == F.col("__pattern"), "left").select(*kept, F.col("__posterior").alias(into))
+    return voted.join(F.broadcast(table), F.col(pattern_col) == F.col(pattern), "left").select(*kept, F.col(posterior).alias(into))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

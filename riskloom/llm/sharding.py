@@ -13,6 +13,8 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskloom.llm import store
+
 TABLE_SIZE = 2039
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
@@ -71,12 +73,13 @@ def place(
     empty, and columns already named like the two results are replaced. No
     shuffle: one broadcast of `size` rows.
     """
-    table = table_frame(df.sparkSession, shards, size).toDF("__slot", "__shard")
+    slot, shard, own = store.new_names(df, "slot", "shard", "key_slot")
+    table = table_frame(df.sparkSession, shards, size).toDF(slot, shard)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (slot_col, shard_col)]
     return (
-        df.withColumn("__key_slot", slot_of(F.col(f"`{key}`"), size))
-        .join(F.broadcast(table), F.col("__key_slot") == F.col("__slot"), "left")
-        .select(*kept, F.col("__slot").alias(slot_col), F.col("__shard").alias(shard_col))
+        df.withColumn(own, slot_of(F.col(f"`{key}`"), size))
+        .join(F.broadcast(table), F.col(own) == F.col(slot), "left")
+        .select(*kept, F.col(slot).alias(slot_col), F.col(shard).alias(shard_col))
     )
 
 

@@ -70,6 +70,17 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
     return bounded_batches(df).select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def new_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as the table's columns (in any case) call for."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_remainder(column: Column, divisor: int) -> Column:
     """crc32 of the value as text, modulo `divisor`; a null counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % divisor

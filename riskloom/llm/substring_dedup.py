@@ -214,9 +214,10 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows with a null id are left as they are.
     """
+    own, spans = store.new_names(docs, "id", "cuts")
     cuts = (
         repeated_passages(docs, id_col, text_col, run_words).where("id is not null")
-        .groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("id", "__id")
+        .groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans)).withColumnRenamed("id", own)
     )
 
     @F.pandas_udf("string")
@@ -232,6 +233,6 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(store.written(cuts), F.col(f"`{id_col}`") == F.col("__id"), "left")
-    text = F.when(F.col("__cuts").isNull(), F.col(f"`{text_col}`").cast("string")).otherwise(keep(F.col(f"`{text_col}`").cast("string"), "__cuts"))
+    joined = docs.join(store.written(cuts), F.col(f"`{id_col}`") == F.col(own), "left")
+    text = F.when(F.col(spans).isNull(), F.col(f"`{text_col}`").cast("string")).otherwise(keep(F.col(f"`{text_col}`").cast("string"), spans))
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

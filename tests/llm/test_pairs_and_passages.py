@@ -264,6 +264,18 @@ def test_templates_with_many_variable_fields(spark):
     assert found == wanted
 
 
+def test_boilerplate_that_stands_together(spark):
+    """Headers and footers do not shield one another; near copies keep their common lines."""
+    rng = random.Random(16)
+    frame = ["Read more in our archive", "Terms and conditions of this site", "Follow us on the usual channels"]
+    rows = [(i, "\n".join([frame[0], *(" ".join(words(rng, 9, 10**9)) for _ in range(4)), *frame[1:]])) for i in range(40)]
+    base = [" ".join(words(rng, 9, 10**9)) for _ in range(8)]
+    rows += [(100 + i, "\n".join([*base[:5], " ".join(words(rng, 9, 10**9)), *base[5:]])) for i in range(40)]
+    rows += [(200 + i, frame[0]) for i in range(3)] + [(300 + i, f"A page of one line by writer {i}") for i in range(20)]
+    found = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(table(spark, rows)).collect()}
+    assert found == {i: "\n".join(x for x in t.split("\n") if x not in frame) for i, t in rows}
+
+
 def test_line_sql_on_the_same_rows(spark):
     from riskloom.llm.oracle import OP10
     from tests.compare import differences
@@ -278,5 +290,7 @@ def test_line_sql_on_the_same_rows(spark):
 
 @pytest.mark.parametrize("operator", [ngram_join.one_of_each, line_dedup.drop_recurring_lines, substring_dedup.without_passages])
 def test_other_columns_stay(spark, operator):
+    clashing = table(spark, [(1, "a b c"), (2, None)]).selectExpr("*", *[f"5 AS `{p}{c}`" for p in ("", "_", "__") for c in ("cut", "cuts", "_doc", "_id")])
+    assert [tuple(r) for r in operator(clashing).orderBy("doc_id").collect()] == [tuple(r) for r in clashing.orderBy("doc_id").collect()]
     rows = operator(table(spark, [(1, "a b c"), (2, None)])).collect()
     assert sorted((r.doc_id, r.text, r.doc, r.id) for r in rows) == [(1, "a b c", "x", "x"), (2, None, "x", "x")]

@@ -47,6 +47,10 @@ def test_placing_odd_rows(spark):
     assert len(rows) == len(ODD) + 3 and all(r.shard for r in rows)
     assert len({r.slot for r in rows if r.doc_id == 3}) == 1
     assert sharding.place(odd_table(spark).limit(0), "doc_id").count() == 0
+    clashing = odd_table(spark).selectExpr("*", "5 AS key_slot", "6 AS `_key_slot`", "7 AS slot", "8 AS `_slot`", "9 AS `__shard`")
+    found = sharding.place(clashing, "doc_id")
+    assert {*found.columns} == {*clashing.columns, "shard"} and len(found.columns) == len({*found.columns})
+    assert found.where("key_slot != 5 or `_key_slot` != 6 or `_slot` != 8 or `__shard` != 9").count() == 0
 
 
 @pytest.mark.parametrize("name, label, held", [("op5_quality", "quality", 0.97), ("op6_toxicity", "toxic", 0.9)])

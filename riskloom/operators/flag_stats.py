@@ -105,9 +105,12 @@ def flag_rates(tables: DataFrame) -> DataFrame:
     """Prevalence, rates, difference and relative risk; flags never set drop out.
 
     Prevalence and base rate are shares of all records; the rates with and
-    without the flag are means over the labelled ones.
+    without the flag are means over the labelled ones. Without the counts over all
+    records (`flagged`, `records`, `positives`) the labelled ones are taken for all.
     """
     m = _margins()
+    of_cells = {"flagged": m["with_flag"], "records": m["n"], "positives": m["positive"]}
+    tables = tables.withColumns({c: v.cast("bigint") for c, v in of_cells.items() if c not in tables.columns})
     rate_with = ratio(m["n11"], m["with_flag"]) * 100.0
     rate_without = ratio(m["n01"], m["without_flag"]) * 100.0
     records = F.col("records").cast("double")

@@ -314,14 +314,15 @@ def _long_flags(source: str, key: str, flags: list[str]) -> str:
 
 
 def _cells(source: str, key: str, flags: list[str]) -> str:
-    """The 2x2 counts of labelled records; `e` has expected cells and chi-square."""
+    """The 2x2 counts of labelled records; `e` has expected cells and chi-square. A row or column without records has no cells."""
     return _long_flags(source, key, flags) + """, cells AS MATERIALIZED (SELECT flag,
   count(*) FILTER (v = 1 AND y = 1) AS n11, count(*) FILTER (v = 1 AND y = 0) AS n10,
   count(*) FILTER (v = 0 AND y = 1) AS n01, count(*) FILTER (v = 0 AND y = 0) AS n00 FROM long GROUP BY flag),
 m AS MATERIALIZED (SELECT *, CAST(n11 + n10 AS DOUBLE) AS r1, CAST(n01 + n00 AS DOUBLE) AS r0, CAST(n11 + n01 AS DOUBLE) AS c1,
   CAST(n10 + n00 AS DOUBLE) AS c0, CAST(n11 + n10 + n01 + n00 AS DOUBLE) AS n FROM cells),
-e AS MATERIALIZED (SELECT *, least(r1 * c1 / n, r1 * c0 / n, r0 * c1 / n, r0 * c0 / n) AS expected_min,
-  n * pow(greatest(0.0, abs(CAST(n11 AS DOUBLE) * n00 - CAST(n10 AS DOUBLE) * n01) - n / 2), 2) / nullif(r1 * r0 * c1 * c0, 0) AS chi2 FROM m),
+e AS MATERIALIZED (SELECT *, least(nullif(r1 * c1, 0) / n, nullif(r1 * c0, 0) / n, nullif(r0 * c1, 0) / n, nullif(r0 * c0, 0) / n) AS expected_min,
+  CASE WHEN r1 * r0 * c1 * c0 > 0 THEN n * pow(greatest(0.0, abs(CAST(n11 AS DOUBLE) * n00 - CAST(n10 AS DOUBLE) * n01) - n / 2), 2) / (r1 * r0 * c1 * c0)
+    WHEN n > 0 THEN 0.0 END AS chi2 FROM m),
 terms AS (SELECT flag, n11, k, -(lgamma(k + 1) + lgamma(r1 - k + 1) + lgamma(c1 - k + 1) + lgamma(n - r1 - c1 + k + 1)) AS w
   FROM (SELECT *, unnest(range(CAST(greatest(0, r1 + c1 - n) AS BIGINT), CAST(least(r1, c1) AS BIGINT) + 1)) AS k FROM m)),
 peak AS (SELECT flag, max(w) AS top, max(CASE WHEN k = n11 THEN w END) AS seen FROM terms GROUP BY flag),
@@ -349,7 +350,7 @@ ORACLE["fisher_exact"] = with_views(
 def _prevalence(cells: str, source: str) -> str:
     return f"""WITH {cells}, every AS (SELECT flag, count(*) FILTER (v = 1) AS flagged FROM long GROUP BY flag),
     total AS (SELECT CAST(count(*) AS DOUBLE) AS records, CAST(sum({_Y}) AS DOUBLE) AS positives FROM {source}),
-    rates AS (SELECT e.*, flagged, fisher_p, n11 / r1 * 100.0 AS rate_with_pct, n01 / r0 * 100.0 AS rate_without_pct
+    rates AS (SELECT e.*, flagged, fisher_p, n11 / nullif(r1, 0) * 100.0 AS rate_with_pct, n01 / nullif(r0, 0) * 100.0 AS rate_without_pct
       FROM e JOIN fisher USING (flag) JOIN every USING (flag) WHERE flagged > 0),
     tested AS MATERIALIZED (SELECT *, {_TEST} AS test,
       CASE WHEN expected_min < 5 THEN fisher_p ELSE 2 * {normal_upper('sqrt(chi2)')} END AS p FROM rates)

@@ -1,6 +1,9 @@
 import json
 
+import os
+
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from riskloom import fixed
@@ -141,6 +144,57 @@ def test_a_repeated_batch_scores_the_same_rows(spark, tmp_path):
     assert chosen[0] == chosen[1] and len(chosen[0]) == 5
 
 
+def test_a_failed_batch_is_repeated_whole(spark, tmp_path):
+    """The state goes back with the batch: nothing is lost, nothing scored twice."""
+    source, target, checkpoint, flag = (str(tmp_path / n) for n in ("in", "out", "cp", "failed"))
+
+    def score(df):
+        def once(batches):
+            import os
+
+            for batch in batches:
+                if (batch["k"] == 7).any() and not os.path.exists(flag):
+                    open(flag, "w").close()
+                    raise RuntimeError("lost")
+                yield batch
+
+        return df.mapInPandas(once, df.schema)
+
+    schema = "k bigint, x string"
+    for batch in ([(1, "a"), (2, "b")], [(2, "c"), (7, "d"), (7, "e"), (8, "f")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        query = score_arriving(spark, source, spark.read.parquet(source).schema, "k", score, target, checkpoint, max_files=1)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            query = score_arriving(spark, source, spark.read.parquet(source).schema, "k", score, target, checkpoint, max_files=1)
+            query.awaitTermination()
+    assert os.path.exists(flag)
+    rows = spark.read.parquet(target).collect()
+    assert sorted((r.k, r.batch_id) for r in rows) == [(1, 0), (2, 0), (7, 1), (8, 1)]
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in progress] == [4]
+    assert [p["stateOperators"][0]["customMetrics"]["rocksdbPutCount"] for p in progress] == [2]
+
+
+def test_a_batch_reads_no_results(spark, tmp_path):
+    """Work follows the batch: the plan of the last batch has its own files only."""
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    plans = []
+
+    def score(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return df
+
+    done = spark.createDataFrame([(k,) for k in range(50)], "k bigint")
+    for k in range(3):
+        spark.range(40 * k, 40 * k + 60).selectExpr("id AS k", "'x' AS x").coalesce(1).write.mode("append").parquet(source)
+        score_arriving(spark, source, spark.read.parquet(source).schema, "k", score, target, checkpoint, scored=done).awaitTermination()
+    assert len(plans) == 3 and not any(target in p for p in plans)
+    found = sorted(r.k for r in spark.read.parquet(target).collect())
+    assert found == list(range(50, 140))
+
+
 def flagged(spark, rows):
     return spark.createDataFrame(rows, "k bigint, a int, b int, fraudulent_agent int")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom import fixed
 from riskloom.operators.clean import normalize_target
+from riskloom.sources.split_csv import read_split_csv
 
 # Types of the known columns; all others stay text.
 TYPES = {
@@ -28,16 +29,16 @@ TYPES = {
 def read_text_csv(
     spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = True
 ) -> DataFrame:
-    """CSV with a header, all columns as text; only the header is read here.
+    """CSV with a header, all columns as text.
 
-    Quoted line breaks need `multi_line`, which makes a file one task: keep
-    large inputs in many files, or in Parquet.
+    Quoted line breaks need `multi_line`; a file is read by many tasks either way.
     """
-    return (
+    plain = (
         spark.read.option("header", True).option("encoding", encoding)
         .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
         .csv(path)
     )
+    return read_split_csv(spark, path, plain.columns, encoding) if multi_line else plain
 
 
 def typed(df: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
+import contextlib
+import csv
 import json
-
 import os
+import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -99,6 +101,65 @@ def test_embeddings_are_built_once(spark, tmp_path):
     assert calls == [1]
 
 
+@contextlib.contextmanager
+def small_splits(spark, size):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def by_one_task(spark, path, encoding="UTF-8"):
+    """Spark's own reader of quoted line breaks."""
+    return (
+        spark.read.option("header", True).option("encoding", encoding).option("multiLine", True)
+        .option("quote", '"').option("escape", '"').csv(path)
+    )
+
+
+PARTS = ["", "a", "b c", ",", "\n", '"', '""', "\n\n", "x\n,y", 'say "no"', "é", "  ", '",', '"\n', "long " * 12]
+
+
+@pytest.mark.parametrize("seed,end,encoding,quoting", [
+    (1, "\n", "UTF-8", csv.QUOTE_MINIMAL), (2, "\r\n", "ISO-8859-1", csv.QUOTE_MINIMAL), (3, "\n", "ISO-8859-1", csv.QUOTE_ALL),
+    (4, "\r\n", "UTF-8", csv.QUOTE_NONNUMERIC),
+])
+def test_split_csv_equals_the_reader_of_whole_files(spark, tmp_path, seed, end, encoding, quoting):
+    rng = random.Random(seed)
+    for name in ("one", "two"):
+        rows = [[str(i), *("".join(rng.choice(PARTS) for _ in range(rng.randrange(4))) for _ in range(3))] for i in range(60)]
+        with open(tmp_path / f"{name}.csv", "w", encoding=encoding, newline="") as out:
+            writer = csv.writer(out, lineterminator=end, quoting=quoting)
+            writer.writerow(["id", "first\nname", "b", "c"])
+            writer.writerows(rows)
+    path = str(tmp_path / "*.csv")
+    want = by_one_task(spark, path, encoding)
+    key = lambda r: [(x is None, x or "") for x in r]
+    expected = sorted(map(tuple, want.collect()), key=key)
+    assert len(expected) == 120
+    for size in (40, 300, 5000):
+        with small_splits(spark, size):
+            found = postings.read_text_csv(spark, path, encoding)
+            assert found.columns == want.columns and sorted(map(tuple, found.collect()), key=key) == expected
+
+
+def test_one_large_file_is_many_tasks(spark, tmp_path):
+    """Also a field that is longer than several chunks, and stray quotes within unquoted fields."""
+    rows = [f'{i},"line {i}\nbreak, ""quoted""",5" wide' for i in range(300)]
+    rows[100] = '100,"' + "much\n" * 800 + '",long'
+    (tmp_path / "t.csv").write_text("\n".join(["id,text,more", *rows, ""]))
+    path = str(tmp_path / "t.csv")
+    with small_splits(spark, 500):
+        lines = spark.read.option("lineSep", "\n").text(path)
+        assert lines.rdd.getNumPartitions() > 20
+        found = sorted(tuple(r) for r in postings.read_text_csv(spark, path).collect())
+    assert found == sorted(tuple(r) for r in by_one_task(spark, path).collect()) and len(found) == 300
+    (tmp_path / "e.csv").write_text("id,text,more\n")
+    assert postings.read_text_csv(spark, str(tmp_path / "e.csv")).collect() == []
+
+
 def test_writing(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c')], "k int, t string")
     tables.write_table(df, str(tmp_path / "c"), "csv")

@@ -10,7 +10,7 @@ Only lines that do not recur themselves tell: boilerplate that stands together
 does not make its holders alike, and a document that consists mostly of recurring
 lines is no evidence for any template.
 
-Lines are told apart by their md5, words within a leaf by 64-bit hashes.
+Lines are told apart by 60 bits of their md5, words within a leaf by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,38 +30,53 @@ FIXED_WORDS = 2
 OWN_SURROUNDINGS = 0.5
 # A document is evidence when so many of its different lines do not recur.
 OWN_LINES = 0.5
-# White space within a line; the line end itself cuts lines.
-_INNER_WHITE = "\t\x0b\x0c\r"
+_WHITE = r"\x20\x09-\x0D"
+_WORD = f"[^{_WHITE}]+"
+_PLAIN_WORD = f"(?<![^{_WHITE}])[^{_WHITE}0-9]+(?![^{_WHITE}])"
+_LEADING = f"^[{_WHITE}]*" + f"[{_WHITE}]+".join([f"({_WORD})"] * LEADING)
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_words(line: Column) -> Column:
-    words = F.split(F.translate(line, _INNER_WHITE, " " * len(_INNER_WHITE)), " ")
-    return F.filter(words, lambda w: w != "")
+def digest_of(line: Column) -> Column:
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
-def _variable(word: Column) -> Column:
-    return word.rlike("[0-9]")
+def _single_spaces(line: Column) -> Column:
+    """Whether words are parted by single spaces only, so that counting spaces counts words."""
+    odd = line.startswith(" ") | line.endswith(" ") | (line == "")
+    for white in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | line.contains(white)
+    return ~odd
 
 
-def _leaf(words: Column) -> Column:
-    """The place in the tree; null for lines of too few words."""
-    leading = F.transform(F.slice(words, 1, LEADING), lambda w: F.when(_variable(w), "<*>").otherwise(w))
-    return F.when(F.size(words) >= MIN_WORDS, F.xxhash64(F.size(words), leading))
+def _with_leaf(lines: DataFrame) -> DataFrame:
+    """With the line's place in the tree; null for lines of too few words.
+
+    Step by step, so that nothing is worked out twice.
+    """
+    line = F.col("line")
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    apart = F.concat_ws(" ", *[F.regexp_extract(line, _LEADING, k + 1) for k in range(LEADING)])
+    kept = lines.columns
+    counted = lines.withColumn("single", _single_spaces(line)).select(
+        *kept, F.when(F.col("single"), spaces + 1).otherwise(F.regexp_count(line, F.lit(_WORD))).alias("n"),
+        F.when(F.col("single"), F.substring_index(line, " ", LEADING)).otherwise(apart).alias("leading"),
+    )
+    masked = F.when(F.col("leading").rlike("[0-9]"), F.regexp_replace("leading", "[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("leading"))
+    return counted.select(*kept, F.when(F.col("n") >= MIN_WORDS, F.xxhash64("n", masked)).alias("leaf"))
 
 
 def tree_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, copy, line, digest, leaf: every different line of every document.
+    """doc, copy, line, leaf: every different line of every document.
 
     `copy` is the same in documents of equal text.
     """
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(row_key(id_col, text_col).alias("doc"), F.xxhash64(text).alias("copy"), F.array_distinct(lines_of(text)).alias("lines"))
-    lines = rows.select("doc", "copy", F.explode("lines").alias("line"))
-    return lines.select("doc", "copy", "line", F.unhex(F.md5("line")).alias("digest"), _leaf(line_words(F.col("line"))).alias("leaf"))
+    return _with_leaf(rows.select("doc", "copy", F.explode("lines").alias("line")))
 
 
 def _surroundings(lines: DataFrame, min_docs: int) -> DataFrame:
@@ -81,17 +96,15 @@ def _surroundings(lines: DataFrame, min_docs: int) -> DataFrame:
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, fixed_share: float) -> DataFrame:
     """digest, template of the different lines that belong to a recurring template."""
     tree = tree_lines(docs, id_col, text_col)
-    lines = store.written(tree.drop("line"))
+    lines = store.written(tree.select("doc", "copy", digest_of(F.col("line")).alias("digest"), "leaf"))
     busy = lines.where("leaf is not null").groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    # Each different line of a busy leaf once: its words as hashes, 0 for a variable field.
-    hashed = F.transform(line_words(F.col("line")), lambda w: F.when(_variable(w), F.lit(0)).otherwise(F.xxhash64(w)))
-    seen = tree.select("digest", "leaf", "line").join(store.few(store.written(busy)), "leaf", "left_semi")
-    different = store.written(
-        seen.select("digest", "leaf", hashed.alias("words"))
-        .groupBy("digest").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words"), F.count("*").alias("docs"))
-    )
-    plain = F.size(F.filter("words", lambda w: w != 0))
-    placed = different.select("digest", "leaf", "docs", plain.alias("plain"), F.posexplode("words").alias("pos", "word")).where("word != 0")
+    # Each different line of a busy leaf once.
+    seen = tree.select("leaf", "line").join(store.few(store.written(busy)), "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("docs"))
+    plain = F.regexp_count("line", F.lit(_PLAIN_WORD))
+    different = store.written(seen.select("leaf", "line", "docs", plain.alias("plain"), digest_of(F.col("line")).alias("digest")))
+    words = F.regexp_extract_all("line", F.lit(_WORD), F.lit(0))
+    placed = different.select("digest", "leaf", "docs", "plain", F.posexplode(words).alias("pos", "word")).where(~F.col("word").rlike("[0-9]"))
+    placed = placed.withColumn("word", F.xxhash64("word"))
     fixed = placed.groupBy("leaf", "pos", "word").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "word")
     of_words = (
         placed.join(fixed, ["leaf", "pos", "word"])
@@ -100,7 +113,7 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int,
         .select("digest", F.md5(F.to_json(F.struct("leaf", "kept"))).alias("template"))
     )
     # With fewer fixed words a line is a template only as it stands.
-    as_it_stands = different.where((F.col("docs") >= min_docs) & (plain < FIXED_WORDS)).select("digest", F.hex("digest").alias("template"))
+    as_it_stands = different.where((F.col("docs") >= min_docs) & (F.col("plain") < FIXED_WORDS)).select("digest", F.col("digest").cast("string").alias("template"))
     template = store.written(of_words.unionByName(as_it_stands))
     around = F.when(F.col("low") != F.col("digest"), F.col("low")).when(F.col("high") != F.col("digest"), F.col("high"))
     held = lines.select("digest", "doc", "copy").join(store.few(template), "digest").join(_surroundings(lines, min_docs), "doc")
@@ -131,7 +144,7 @@ def drop_recurring_lines(
     lines = docs.select(row_key(id_col, text_col).alias("doc"), F.posexplode(lines_of(text)).alias("at", "line"))
     doc, out = store.new_names(docs, "doc", "cut")
     cut = (
-        lines.select("doc", "at", F.unhex(F.md5("line")).alias("digest")).join(store.few(bad), "digest", "left_semi")
+        lines.select("doc", "at", digest_of(F.col("line")).alias("digest")).join(store.few(bad), "digest", "left_semi")
         .groupBy("doc").agg(F.collect_set("at").alias(out)).withColumnRenamed("doc", doc)
     )
     rest = F.array_join(F.filter(lines_of(text), lambda x, i: ~F.array_contains(out, i)), "\n")

@@ -61,7 +61,7 @@ WITH texts AS (
 line_rows AS (SELECT doc, copy, unnest(lines) AS line FROM texts),
 common AS (SELECT line, true AS recurs FROM line_rows GROUP BY line HAVING count(DISTINCT copy) >= {MIN_DOCS}),
 own AS (
-  SELECT doc, min(md5(line)) FILTER (recurs IS NULL) AS low, max(md5(line)) FILTER (recurs IS NULL) AS high
+  SELECT doc, min(substr(md5(line), 1, 15)) FILTER (recurs IS NULL) AS low, max(substr(md5(line), 1, 15)) FILTER (recurs IS NULL) AS high
   FROM line_rows LEFT JOIN common USING (line) GROUP BY doc HAVING count(*) FILTER (recurs IS NULL) >= {OWN_LINES} * count(*)
 ),
 tree AS (
@@ -77,7 +77,7 @@ template AS (
   UNION ALL SELECT line, line FROM different WHERE plain < {FIXED_WORDS} AND docs >= {MIN_DOCS}
 ),
 held AS (
-  SELECT template, copy, CASE WHEN low != md5(line) THEN low WHEN high != md5(line) THEN high END AS around
+  SELECT template, copy, CASE WHEN low != substr(md5(line), 1, 15) THEN low WHEN high != substr(md5(line), 1, 15) THEN high END AS around
   FROM template JOIN tree USING (line) JOIN own USING (doc)
 ),
 recurring AS (

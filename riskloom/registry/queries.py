@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -841,8 +842,9 @@ def _fit_vectors(v: Views, learner, **options) -> DataFrame:
     """Split, over-sample, fit and measure one learner on all vectors.
 
     Rows: sizes of the parts, the width, and 1 for each metric that lies in
-    0..1 (values differ between versions of a learner). Logistic regression
-    without L1 also shows 1 when the penalised gradient vanishes at its weights.
+    0..1 (values differ between versions of a learner); 1 when the loss on the balanced
+    rows is below that of any constant. Logistic regression also shows 1 when the penalised
+    gradient vanishes at its weights.
     """
     rows = v.vectors().select(
         "vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
@@ -856,8 +858,10 @@ def _fit_vectors(v: Views, learner, **options) -> DataFrame:
         out += [(f"{part}_{int(r['label'])}", float(r["count"])) for r in table.groupBy("label").count().collect()]
     measured = models.model_metrics(models.scored(model, test, "vec_id", "label"))
     out += [(f"{m}_in_range", float(0.0 <= x <= 1.0)) for m, x in measured.items()]
-    if learner is models.lr:
-        out.append(("gradient_vanishes", float(models.penalised_gradient(model, balanced) < GRADIENT)))
+    out.append(("beats_constant", float(models.mean_loss(model, balanced) < 0.99 * math.log(2.0))))
+    if learner in (models.lr, models.enlr):
+        rest = models.penalised_gradient(model, balanced, l1_ratio=0.5 if learner is models.enlr else 0.0)
+        out.append(("gradient_vanishes", float(rest < GRADIENT)))
     return v.spark.createDataFrame(out, "property string, value double")
 
 

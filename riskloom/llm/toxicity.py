@@ -26,7 +26,8 @@ DIMENSIONS = 8
 SEGMENT_WORDS = 6
 POSITIVE_ROWS = 800
 NEGATIVE_ROWS = 1600
-LONGEST_CHARS = 3000
+# Segments of one text that training sees at most, drawn by hash from all of its words.
+TEXT_SEGMENTS = 600
 EPOCHS = 18
 BATCH = 4096
 # Few segments get more epochs, so that there are so many steps at least.
@@ -70,6 +71,19 @@ def segment_ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(segments)
 
 
+def drawn_segments(text: str, most: int) -> str:
+    """The text, or of a longer one `most` of its segments, drawn by a hash of their places, in order."""
+    words = text.split()
+    if len(words) <= most * SEGMENT_WORDS:
+        return text
+    n = -(-len(words) // SEGMENT_WORDS)
+    with np.errstate(over="ignore"):
+        hashed = (np.arange(1, n + 1, dtype=np.uint64) * _SCRAMBLE) >> np.uint64(20)
+    # A last segment of fewer words would shift the words of those behind it, so it stays last.
+    chosen = np.sort(np.argsort(hashed, kind="stable")[:most])
+    return " ".join(" ".join(words[SEGMENT_WORDS * i : SEGMENT_WORDS * (i + 1)]) for i in chosen)
+
+
 @dataclass
 class ToxicityModel:
     """The logit that each n-gram adds to the average of its segment, and the bias."""
@@ -174,26 +188,33 @@ def _step(bags, rows, target, weight, vectors, soft, bias, memory, rate: float =
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    positives: int = POSITIVE_ROWS, negatives: int = NEGATIVE_ROWS, longest: int = LONGEST_CHARS,
+    positives: int = POSITIVE_ROWS, negatives: int = NEGATIVE_ROWS, segments: int = TEXT_SEGMENTS,
 ) -> ToxicityModel | None:
     """Learn from a bounded sample of labelled rows: of each class the given number with the
-    smallest md5 of the id, among texts of at most `longest` characters (whole texts).
+    smallest md5 of the id, whatever the length of the text. Of a text of more than `segments`
+    segments so many are drawn, from all of its words.
 
-    Only these texts, at most (positives + negatives) * longest characters, reach
-    the driver. None unless both classes occur.
+    Only these segments, at most (positives + negatives) * segments, reach the
+    driver. None unless both classes occur.
     """
     known = (
         store.named(labels, id=id_col, label=label_col).where("id is not null and label in (0, 1)")
         .groupBy("id").agg(F.max("label").cast("int").alias("label"))
     )
-    texts = store.named(docs, id=id_col, text=text_col).where(F.length("text").between(1, longest))
+    texts = store.named(docs, id=id_col, text=text_col).where("text != ''")
+
+    @F.pandas_udf("string")
+    def drawn(batch: pd.Series) -> pd.Series:
+        return pd.Series([drawn_segments(t, segments) for t in batch], dtype=object)
+
     # Only ids travel until the sample is chosen; its texts meet a broadcast of that many rows.
     labelled = texts.select("id").join(known, "id")
     rows = []
     for label, most in ((1, positives), (0, negatives)):
         order = F.md5(F.col("id").cast("string"))
         chosen = store.written(labelled.where(F.col("label") == label).select("id").distinct().orderBy(order, "id").limit(most))
-        own = texts.join(F.broadcast(chosen), "id").orderBy(order, "id", F.xxhash64("text")).limit(most)
+        own = texts.join(F.broadcast(chosen), "id").select("id", drawn(F.col("text").cast("string")).alias("text"))
+        own = own.orderBy(order, "id", F.xxhash64("text")).limit(most)
         rows += own.withColumn("label", F.lit(label)).collect()
     return train([r.text for r in rows], [r.label for r in rows])
 

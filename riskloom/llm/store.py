@@ -6,12 +6,14 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from riskloom.functions.shipping import ship
 
-# Rows of at most this many are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+# Tables of at most this many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+# What a row takes in a broadcast table besides its values.
+_ROW_BYTES = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,9 +38,25 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written table of narrow rows for broadcast when its count allows it."""
-    return F.broadcast(df) if df.count() <= limit else df
+def size_of(df: DataFrame) -> int:
+    """The bytes of a table's values, measured: texts, binaries and lists by what they hold."""
+    fixed, varying = _ROW_BYTES, []
+    for field in df.schema.fields:
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            varying.append(F.octet_length(column))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            varying.append(F.octet_length(F.to_json(F.struct(column))))
+        fixed += 8
+    held = F.coalesce(F.sum(sum((F.coalesce(c, F.lit(0)) for c in varying), F.lit(0)).cast("long")), F.lit(0))
+    row = df.agg(F.count("*").alias("n"), held.alias("held")).first()
+    return row["n"] * fixed + row["held"]
+
+
+def few(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Mark a written table for broadcast when its measured size allows it; the result of a
+    join is the same either way."""
+    return F.broadcast(df) if size_of(df) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 _BATCH_BYTES, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"

@@ -288,6 +288,31 @@ def test_line_sql_on_the_same_rows(spark):
     assert not differences(line_dedup.drop_recurring_lines(docs, count_col="n_dropped"), con, OP10)
 
 
+def test_the_same_rows_without_broadcasts(spark, small, monkeypatch):
+    """Tables too large to broadcast are joined by shuffles."""
+    from riskloom.llm import queries, store
+
+    names = ["op1_decontamination", "op3_ngram_join", "op9_substring_dedup", "op10_line_dedup"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    seen = {n: sorted(map(repr, queries.QUERIES[n](spark, small).collect())) for n in names}
+    monkeypatch.setattr(store, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in names:
+            assert sorted(map(repr, queries.QUERIES[name](spark, small).collect())) == seen[name], name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sizes_follow_the_values(spark):
+    from riskloom.llm import store
+
+    rows = spark.range(1000).selectExpr("id", "repeat('x', 500) AS text", "array(1, 2, 3) AS list")
+    assert 500_000 < store.size_of(rows.select("text")) < 600_000
+    assert store.size_of(rows.select("id")) < 50_000 < store.size_of(rows.select("id", "list"))
+    assert store.size_of(rows.limit(0)) == 0
+
+
 @pytest.mark.parametrize("operator", [ngram_join.one_of_each, line_dedup.drop_recurring_lines, substring_dedup.without_passages])
 def test_other_columns_stay(spark, operator):
     clashing = table(spark, [(1, "a b c"), (2, None)]).selectExpr("*", *[f"5 AS `{p}{c}`" for p in ("", "_", "__") for c in ("cut", "cuts", "_doc", "_id")])

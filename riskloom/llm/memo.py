@@ -34,6 +34,14 @@ class Memo:
                     self.put(keys[i], value)
         return found, unknown
 
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
     def put(self, key: str, value: bytes) -> None:
         if self.size >= self.most:
             self.old, self.young, self.size = self.young, {}, 0

@@ -27,7 +27,7 @@ from riskloom.llm.memo import Memo
 
 SPACE = "▁"
 # Bytes of a generation of remembered words, and of remembered parts of words.
-WORD_BYTES, RUN_BYTES = 80 << 20, 24 << 20
+WORD_BYTES, RUN_BYTES = 48 << 20, 8 << 20
 # Added to the lowest score for a character that no piece covers.
 _UNKNOWN_PENALTY = 10.0
 _NONE = float("-inf")
@@ -141,6 +141,40 @@ class StreamingViterbi:
         return out
 
 
+def window_path(v: Vocabulary, chars: str) -> list[int]:
+    """The ids of the best path through characters that fit into one window, as `StreamingViterbi` finds it.
+
+    Nothing has to be given out early, so every boundary just hands its score on to the pieces
+    that begin there; of equal paths the earlier beginning, the longer last piece, stays.
+    """
+    n, find, unknown = len(chars), v.beginnings.get, v.unknown
+    best, back = [0.0] + [_NONE] * n, [0] * (n + 1)
+    for start in range(n):
+        base, end = best[start], start + 1
+        score = find(chars[start:end], _NO_PIECE)
+        if (score is None or score is _NO_PIECE) and base + unknown > best[end]:
+            best[end], back[end] = base + unknown, start
+        while score is not _NO_PIECE:
+            if score is not None and base + score > best[end]:
+                best[end], back[end] = base + score, start
+            end += 1
+            if end > n:
+                break
+            score = find(chars[start:end], _NO_PIECE)
+    spans, at = [], n
+    while at:
+        spans.append(chars[back[at] : at])
+        at = back[at]
+    out: list[int] = []
+    for piece in reversed(spans):
+        found = v.ids.get(piece)
+        if found is None:
+            out += v.spell(piece)
+        else:
+            out.append(found)
+    return out
+
+
 class PieceCodec:
     """Encodes and decodes whole texts."""
 
@@ -157,6 +191,8 @@ class PieceCodec:
         return [chars[a:b] for a, b in zip([0, *cuts], [*cuts, len(chars)])] if cuts else [chars]
 
     def _fresh(self, chars: str) -> bytes:
+        if len(chars) <= 2 * self.v.longest:
+            return array("I", window_path(self.v, chars)).tobytes()
         runs, stream = self._runs(chars), StreamingViterbi(self.v)
         found, unknown = self.runs.find(runs)
         for i in unknown:
@@ -165,6 +201,24 @@ class PieceCodec:
                 self.runs.put(runs[i], found[i])
         return b"".join(found)
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a word behind a space. A last character that no piece joins to the one
+        before it, as most marks, is looked up apart."""
+        if len(word) > 1 and word[-2:] not in self.v.joins:
+            body = self.words.get(word[:-1])
+            return (self._word(word[:-1]) if body is None else body) + self._end(word[-1])
+        ids = self._fresh(SPACE + word)
+        if len(word) < 2 * self.v.longest:
+            self.words.put(word, ids)
+        return ids
+
+    def _end(self, char: str) -> bytes:
+        ids = self.runs.get(char)
+        if ids is None:
+            ids = self._fresh(char)
+            self.runs.put(char, ids)
+        return ids
+
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text; none for a null or an empty one.
 
@@ -178,9 +232,7 @@ class PieceCodec:
         words = text.split(" ")
         found, unknown = self.words.find(words)
         for i in unknown:
-            found[i] = self._fresh(SPACE + words[i])
-            if len(words[i]) <= 2 * self.v.longest:
-                self.words.put(words[i], found[i])
+            found[i] = self._word(words[i])
         return np.frombuffer(b"".join(found), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:

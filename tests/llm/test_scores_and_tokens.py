@@ -191,6 +191,15 @@ def test_streaming_path_is_the_best_path(small):
         assert codec.decode(ids) == (text or "")
 
 
+def test_short_texts_as_the_stream_takes_them(small):
+    v = sentence_pieces.Vocabulary(PIECES)
+    rng = random.Random(2)
+    words = {w for _, t in texts_of(small)[:60] for w in (t or "").split()} | {"".join(rng.choice("abe▁é日x#1") for _ in range(n)) for n in range(1, 30) for _ in range(20)}
+    for word in sorted(words)[:4000]:
+        stream = sentence_pieces.StreamingViterbi(v)
+        assert sentence_pieces.window_path(v, word) == stream.feed(word) + stream.close()
+
+
 def test_window_stays_bounded():
     codec = sentence_pieces.PieceCodec(PIECES)
     stream, ids = sentence_pieces.StreamingViterbi(codec.v), []

@@ -12,6 +12,7 @@ binary columns of Parquet, so any store Spark writes to will do.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -98,8 +99,26 @@ class Levels:
         return ranks[block].astype(np.int64) + inner + _POPCOUNT[low]
 
 
+# How a file must normalise and part texts for the cuts below to be its own.
+KNOWN_CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {
+            "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed", "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file whose words never cross white space.
+    """Ids of whole texts by a tokenizers file.
+
+    Any file gives the library's ids. For a file with KNOWN_CUTS, whose words never cross
+    white space, most texts are put together from pieces:
 
     Texts are cut at spaces, line ends and between a letter and the marks behind it,
     where the file cuts them too; the ids of a piece are remembered. Texts for which
@@ -115,6 +134,9 @@ class WordEncoder:
         self.memo = Memo(PIECE_BYTES)
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.openings = {s[:2].lower() for s in specials}
+        with open(path, encoding="utf-8") as file:
+            stored = json.load(file)
+        self.known = all(stored.get(part) == value for part, value in KNOWN_CUTS.items())
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -122,6 +144,8 @@ class WordEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """What can be encoded piece by piece; None for a text the library must see whole."""
+        if not self.known:
+            return None
         low = text.lower()
         if "Σ" in text or "İ" in text or any(s in low for s in self.openings) or not unicodedata.is_normalized("NFC", low):
             return None

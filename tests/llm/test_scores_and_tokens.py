@@ -177,6 +177,24 @@ def test_levels_at_random_places(high):
     assert np.array_equal(levels.get(places), ids[places])
 
 
+def test_any_tokenizer_file_gives_its_own_ids(tmp_path, small):
+    """A file that parts texts in another way gets whole texts."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(WORDS, encoding="utf-8") as file:
+        stored = json.load(file)
+    stored["normalizer"] = {"type": "NFC"}
+    stored["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(stored, file)
+    assert token_files.WordEncoder(WORDS).known and not token_files.WordEncoder(path).known
+    texts, library = [t or "" for _, t in texts_of(small)[:30]], Tokenizer.from_file(path)
+    assert [list(x) for x in token_files.WordEncoder(path).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_cache_of_words_may_overflow(monkeypatch, small):
     monkeypatch.setattr(token_files, "PIECE_BYTES", 50 * 200)
     texts = [t for _, t in texts_of(small)[:30]]

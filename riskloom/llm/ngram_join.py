@@ -164,6 +164,19 @@ def _tasks(grouped: DataFrame, percent: int, share: float) -> DataFrame:
     return small.unionByName(pairs)
 
 
+def _counted(owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows among the owners of entries, ascending, and how often each stands there.
+
+    The work follows the entries: counting by place only where they lie close together.
+    """
+    low, high = int(owners.min()), int(owners.max())
+    if high - low > 4 * len(owners):
+        return np.unique(owners, return_counts=True)
+    counts = np.bincount(owners - low)
+    met = np.flatnonzero(counts)
+    return met + low, counts[met]
+
+
 def forest(
     ids: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray | None = None, percent: int = PERCENT, only_shown: bool = False,
 ) -> list[tuple[int, int]]:
@@ -171,7 +184,8 @@ def forest(
     those of the whole sets where only the shown n-grams are given.
 
     The product of one row with all later rows: its n-grams' columns are gathered and
-    counted, which gives the overlaps with every row that shares one.
+    counted, which gives the overlaps with every row that shares one. Rows that share none
+    cost nothing.
     """
     lengths_of = np.array([len(s) for s in sets], np.int64)
     sizes = lengths_of if sizes is None else np.asarray(sizes, np.int64)
@@ -206,8 +220,8 @@ def forest(
         if not total:
             continue
         offsets = np.repeat(mine - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        overlap = np.bincount(owner[offsets + np.arange(total)], minlength=len(order))
-        linked = np.flatnonzero(overlap >= needed_overlaps(int(sizes[row]), sizes, percent, only_shown))
+        met, overlap = _counted(owner[offsets + np.arange(total)])
+        linked = met[overlap >= needed_overlaps(int(sizes[row]), sizes[met], percent, only_shown)]
         for other in linked.tolist():
             a, b = root(row), root(other)
             if a != b:

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -304,6 +305,20 @@ def test_the_same_rows_without_broadcasts(spark, small, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_many_short_sets_cost_what_they_share():
+    """100,000 sets of three n-grams, one of them shared by ten sets each."""
+    import time
+
+    rng = np.random.default_rng(1)
+    own = rng.integers(0, 2**62, (100_000, 2)).astype(np.uint64)
+    common = np.repeat(rng.integers(0, 2**62, 10_000).astype(np.uint64), 10)
+    sets = [np.unique(np.r_[a, c]) for a, c in zip(own, common)]
+    sets[500] = sets[99_500] = np.unique(np.r_[own[500], own[99_500]])
+    begin = time.process_time()
+    assert ngram_join.forest(np.arange(len(sets)), sets) == [(500, 99_500)]
+    assert time.process_time() - begin < 60
+
+
 def test_sizes_follow_the_values(spark):
     from riskloom.llm import store
 

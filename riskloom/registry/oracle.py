@@ -843,6 +843,10 @@ def _neighbors(where: str) -> str:
 ORACLE["smote_neighbors"] = (
     f"WITH {_neighbors('label = 0')} SELECT vec_id, rank, neighbor, round(distance, 6) AS distance FROM nb"
 )
+ORACLE["neighbor_index"] = (
+    "SELECT count(*) AS n_queries, sum(least(5, (SELECT count(*) - 1 FROM embeddings)))::BIGINT AS neighbors, true AS enough"
+    " FROM embeddings WHERE vec_id % 50 = 0"
+)
 ORACLE["nearest_neighbors"] = (
     f"WITH {_neighbors('true')} SELECT vec_id, rank, neighbor, round(distance, 6) AS distance FROM nb"
 )

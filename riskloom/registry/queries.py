@@ -811,6 +811,21 @@ def smote_neighbors(v: Views) -> DataFrame:
     return rounded(balance.nearest_neighbors(_minority(v), "vec_id", "embedding"), "distance")
 
 
+@query
+def neighbor_index(v: Views) -> DataFrame:
+    """The index against exact search among all rows, for the ids divisible by 50: whether
+    nine tenths of the neighbours are found."""
+    asked = F.col("vec_id") % 50 == 0
+    exact, indexed = (
+        balance.nearest_neighbors(v.vectors(), "vec_id", "embedding", recall=recall).where(asked) for recall in (None, 0.95)
+    )
+    found = indexed.select("vec_id", "neighbor", F.lit(1).alias("found"))
+    return exact.join(found, ["vec_id", "neighbor"], "left").agg(
+        F.count_distinct("vec_id").alias("n_queries"), F.count(F.lit(1)).alias("neighbors"),
+        (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("enough"),
+    )
+
+
 @query
 def nearest_neighbors(v: Views) -> DataFrame:
     """Neighbours among all vectors, with blocks small enough to travel."""

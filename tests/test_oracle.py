@@ -84,7 +84,7 @@ def test_results_do_not_depend_on_layout(spark, data):
 
 def test_no_plan_pairs_all_rows(spark, small):
     """No cross or nested-loop join, with every automatic broadcast turned off."""
-    eager = FITS | {q for q in ORACLE if q.startswith("model_")} | {"smote", "smote_rows", "smote_neighbors", "nearest_neighbors", "tfidf_svd", "feature_vectors", "feature_block_sizes"}
+    eager = FITS | {q for q in ORACLE if q.startswith("model_")} | {"smote", "smote_rows", "smote_neighbors", "nearest_neighbors", "neighbor_index", "tfidf_svd", "feature_vectors", "feature_block_sizes"}
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -209,6 +209,17 @@ def test_streaming_path_is_the_best_path(small):
         assert codec.decode(ids) == (text or "")
 
 
+def test_long_texts_give_some_of_all_their_segments():
+    words = [f"w{i}" for i in range(3001)]
+    text, size = " ".join(words), toxicity.SEGMENT_WORDS
+    assert toxicity.drawn_segments(text, 600) == text and toxicity.drawn_segments("", 1) == ""
+    drawn = toxicity.drawn_segments(text, 50).split()
+    starts = [int(w[1:]) for w in drawn[::size]]
+    assert len(starts) == 50 == len(set(starts)) and all(s % size == 0 for s in starts) and starts == sorted(starts)
+    assert min(starts) < 300 and max(starts) > 2700
+    assert drawn == [w for s in starts for w in words[s : s + size]]
+
+
 def test_short_texts_as_the_stream_takes_them(small):
     v = sentence_pieces.Vocabulary(PIECES)
     rng = random.Random(2)

@@ -27,7 +27,7 @@ from riskloom.llm.memo import Memo
 
 SPACE = "▁"
 # Bytes of a generation of remembered words, and of remembered parts of words.
-WORD_BYTES, RUN_BYTES = 48 << 20, 8 << 20
+WORD_BYTES, RUN_BYTES = 20 << 20, 4 << 20
 # Added to the lowest score for a character that no piece covers.
 _UNKNOWN_PENALTY = 10.0
 _NONE = float("-inf")

@@ -181,3 +181,19 @@ def test_plans_have_no_single_task_sort_of_the_records(spark, data):
     plan = marked._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "CartesianProduct" not in plan
     assert "BroadcastHashJoin" in plan
+
+
+def test_a_split_lists_only_a_band_of_records(spark, monkeypatch):
+    """The rows counted grow as the square root of the records; a cut outside its band is found too."""
+    df = spark.range(20_000).select("id", (F.col("id") % 5 == 0).cast("int").alias("y"))
+    narrow = df.select(F.col("id").alias("cut_key"), F.col("y").alias("label"))
+    sizes = {0: 16_000, 1: 4_000}
+    quotas = splits.class_quotas(sizes, 0.2)
+    in_band = splits._cuts_in_band(narrow, [1, 2], sizes, quotas, 8.0)
+    assert in_band.count() == 4
+    low, high = splits._band(quotas[0], sizes[0], 8.0)
+    assert int(high[:-1], 16) - int(low, 16) < 0.06 * 16**splits.PREFIX
+    expected = {(r["seed"], r["label"]): r["cut"] for r in splits.split_cuts(df, "id", "y", [1, 2]).collect()}
+    monkeypatch.setattr(splits, "BANDS", (0.0001, splits.BANDS[-1]))
+    found = {(r["seed"], r["label"]): r["cut"] for r in splits.split_cuts(df, "id", "y", [1, 2]).collect()}
+    assert found == expected and len(found) == 4

@@ -209,7 +209,7 @@ class PieceCodec:
             return (self._word(word[:-1]) if body is None else body) + self._end(word[-1])
         ids = self._fresh(SPACE + word)
         if len(word) < 2 * self.v.longest:
-            self.words.put(word, ids)
+            self.words.put_again(word, ids)
         return ids
 
     def _end(self, char: str) -> bytes:

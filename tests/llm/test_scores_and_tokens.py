@@ -260,3 +260,20 @@ def test_codec_columns(spark):
     assert encoded.columns == odd_table(spark).columns
     assert all(r.again == (r.text or "") for r in decoded)
     assert sentence_pieces.with_ids(odd_table(spark).limit(0), PIECES).count() == 0
+
+
+def test_words_that_come_once_take_no_room():
+    """op8: a flood of words that come once pushes no word out that comes again, also over generations."""
+    from riskloom.llm.memo import Memo
+
+    memo = Memo(190 * 60)
+    for i in range(2000):
+        for key in (f"once{i}", f"often{i % 20}"):
+            if memo.get(key) is None:
+                memo.put_again(key, b"ids of " + key.encode())
+    assert all(memo.get(f"often{i}") == b"ids of often%d" % i for i in range(20))
+    assert sum(k.startswith("once") for k in [*memo.young, *memo.old]) < 10
+    for i in range(200):  # more words that come again than a generation holds: the cache goes on learning
+        for _ in range(2):
+            memo.put_again(f"later{i}", b"x")
+    assert memo.get("later199") == b"x"

@@ -32,6 +32,9 @@ WORD_BYTES, RUN_BYTES = 20 << 20, 4 << 20
 _UNKNOWN_PENALTY = 10.0
 _NONE = float("-inf")
 _NO_PIECE = object()
+# In place of the id of a character that no piece covers.
+_UNCOVERED = -1
+_LEAF: dict[str, tuple] = {}
 
 
 class Vocabulary:
@@ -55,6 +58,20 @@ class Vocabulary:
         self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         # Every beginning of a piece, with the score if it is a piece itself.
         self.beginnings = {p[:i]: self.scores.get(p[:i]) for p in self.ids for i in range(1, len(p) + 1)}
+        self.tree = self._tree()
+        # What a piece is in a text.
+        self.written = np.array([p.replace(SPACE, " ") for p in self.pieces], dtype=object)
+
+    def _tree(self) -> dict[str, tuple]:
+        """The beginnings by their next character: (score, id, what may follow); one that is no piece never wins."""
+        below: dict[str, dict] = {}
+        # Longest first, so that what follows a beginning is there before it.
+        for start in sorted(self.beginnings, key=len, reverse=True):
+            score = self.beginnings[start]
+            if score is None:
+                score = self.unknown if len(start) == 1 else _NONE
+            below.setdefault(start[:-1], {})[start[-1]] = score, self.ids.get(start, _UNCOVERED), below.get(start, _LEAF)
+        return below.get("", {})
 
     def spell(self, char: str) -> list[int]:
         """The ids of a character that no piece covers."""
@@ -147,31 +164,29 @@ def window_path(v: Vocabulary, chars: str) -> list[int]:
     Nothing has to be given out early, so every boundary just hands its score on to the pieces
     that begin there; of equal paths the earlier beginning, the longer last piece, stays.
     """
-    n, find, unknown = len(chars), v.beginnings.get, v.unknown
-    best, back = [0.0] + [_NONE] * n, [0] * (n + 1)
+    n, unknown = len(chars), v.unknown
+    best, back, last = [0.0] + [_NONE] * n, [0] * (n + 1), [_UNCOVERED] * (n + 1)
     for start in range(n):
-        base, end = best[start], start + 1
-        score = find(chars[start:end], _NO_PIECE)
-        if (score is None or score is _NO_PIECE) and base + unknown > best[end]:
-            best[end], back[end] = base + unknown, start
-        while score is not _NO_PIECE:
-            if score is not None and base + score > best[end]:
-                best[end], back[end] = base + score, start
-            end += 1
-            if end > n:
+        base, end, below = best[start], start, v.tree
+        for char in chars[start:]:
+            node = below.get(char)
+            if node is None:
+                if end == start and base + unknown > best[start + 1]:
+                    best[start + 1], back[start + 1], last[start + 1] = base + unknown, start, _UNCOVERED
                 break
-            score = find(chars[start:end], _NO_PIECE)
-    spans, at = [], n
+            end += 1
+            score, piece, below = node
+            score += base
+            if score > best[end]:
+                best[end], back[end], last[end] = score, start, piece
+    out, at = [], n
     while at:
-        spans.append(chars[back[at] : at])
-        at = back[at]
-    out: list[int] = []
-    for piece in reversed(spans):
-        found = v.ids.get(piece)
-        if found is None:
-            out += v.spell(piece)
+        if last[at] == _UNCOVERED:
+            out += reversed(v.spell(chars[at - 1]))
         else:
-            out.append(found)
+            out.append(last[at])
+        at = back[at]
+    out.reverse()
     return out
 
 
@@ -239,7 +254,7 @@ class PieceCodec:
         """The text of ids: pieces side by side, bytes joined, the first space taken off."""
         ids = np.asarray(ids)
         if not len(ids) or not self.v.is_byte[ids].any():
-            return "".join(map(self.v.pieces.__getitem__, ids.tolist())).replace(SPACE, " ").removeprefix(" ")
+            return "".join(self.v.written[ids].tolist()).removeprefix(" ")
         parts, pending = [], bytearray()
         for i in ids.tolist():
             byte = self.v.byte_of.get(i)

@@ -277,3 +277,17 @@ def test_words_that_come_once_take_no_room():
         for _ in range(2):
             memo.put_again(f"later{i}", b"x")
     assert memo.get("later199") == b"x"
+
+
+def test_words_are_followed_character_by_character():
+    """op8: a search goes down a tree by single characters, no stretch of the word is cut out and looked up."""
+    v = sentence_pieces.Vocabulary(PIECES)
+    for start, score in v.beginnings.items():
+        below = v.tree
+        for char in start:
+            found, piece, below = below[char]
+        assert (found, piece) == ((score, v.ids[start]) if score is not None else (v.unknown if len(start) == 1 else float("-inf"), -1))
+    known = list(v.ids.items())[-3:]
+    expected = [sentence_pieces.window_path(v, "▁reoratth%日" + p) for p, _ in known]
+    v.beginnings = v.scores = None
+    assert [sentence_pieces.window_path(v, "▁reoratth%日" + p) for p, _ in known] == expected

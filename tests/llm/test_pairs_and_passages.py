@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from riskloom.llm import components, decontamination, line_dedup, ngram_join, substring_dedup
 from riskloom.llm.bytes_np import shingle_hashes, word_hashes
@@ -334,3 +335,79 @@ def test_other_columns_stay(spark, operator):
     assert [tuple(r) for r in operator(clashing).orderBy("doc_id").collect()] == [tuple(r) for r in clashing.orderBy("doc_id").collect()]
     rows = operator(table(spark, [(1, "a b c"), (2, None)])).collect()
     assert sorted((r.doc_id, r.text, r.doc, r.id) for r in rows) == [(1, "a b c", "x", "x"), (2, None, "x", "x")]
+
+
+def test_sizes_that_forbid_a_link_give_none_by_what_is_shown():
+    short, long = np.arange(3, dtype=np.uint64), np.arange(41, dtype=np.uint64)
+    assert ngram_join.forest(np.array([1, 2]), [short, long], np.array([10, 200]), only_shown=True) == []
+    assert ngram_join.forest(np.array([1, 2]), [long, long[2:]], np.array([200, 198]), only_shown=True) == [(2, 1)]
+
+
+def test_texts_with_a_common_passage_do_not_meet(spark):
+    rng = random.Random(2)
+    passage = words(rng, 60, 10**6)
+    rows = [(i, " ".join(passage + words(rng, 90, 10**6))) for i in range(60)]
+    # A pair of near copies, and two texts of very different sizes with a passage of their own.
+    rows += [(100, rows[0][1] + " and more"), (200, " ".join(pair := words(rng, 40, 10**6))), (201, " ".join(pair + words(rng, 300, 10**6)))]
+    reps = spark.createDataFrame(rows, "id long, text string")
+    common = spark.sparkContext.broadcast(ngram_join._common_ngrams(reps, 10_000, 4))
+    met = ngram_join._meetings(ngram_join._shared(ngram_join._shown_ngrams(reps, 4, common)), 85).distinct().collect()
+    assert sorted(tuple(r) for r in met) == [(0, 0), (100, 0)]
+    found = {r.id: (r.n, r.component) for r in ngram_join.similar_components(table(spark, rows)).collect()}
+    assert found == brute.near_copies(rows)
+
+
+def test_the_order_of_shown_ngrams_keeps_common_ones_last():
+    ngrams = np.arange(10, 20, dtype=np.uint64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    assert ngram_join.first_shown(ngrams, none).tolist() == [10, 11, 12]
+    assert ngram_join.first_shown(ngrams, (np.array([10, 12], np.uint64), np.array([1, 0], np.int32))).tolist() == [11, 13, 14]
+    all_but_one = np.arange(11, 20, dtype=np.uint64), np.arange(9, dtype=np.int32)[::-1].copy()
+    assert ngram_join.first_shown(ngrams, all_but_one).tolist() == [10, 19, 18]
+
+
+@pytest.mark.parametrize("only_shown", [False, True])
+def test_forests_join_what_all_pairs_join(only_shown):
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 3000, rng.integers(4, 60))
+        for _ in range(rng.integers(1, 6)):
+            sets.append(np.unique(np.r_[base, rng.integers(0, 40, 3)][rng.integers(0, 3) :]).astype(np.uint64))
+    sizes = np.array([len(s) * (5 if only_shown else 1) - (4 if only_shown else 0) for s in sets])
+    links = [
+        (i, j) for i in range(len(sets)) for j in range(i)
+        if len(np.intersect1d(sets[i], sets[j])) >= ngram_join.needed_overlaps(int(sizes[i]), sizes[j : j + 1], 85, only_shown)[0]
+        and ngram_join.least_overlap(int(sizes[i]), int(sizes[j])) <= min(sizes[i], sizes[j])
+    ]
+
+    def families(pairs):
+        parent = list(range(len(sets)))
+        for a, b in pairs:
+            a, b = (next(iter(r for r in [parent[x]])) for x in (a, b))
+            parent = [min(a, b) if p in (a, b) else p for p in parent]
+        return parent
+
+    found = ngram_join.forest(np.arange(len(sets)), sets, sizes, only_shown=only_shown)
+    assert links and families(found) == families(links)
+    assert len(found) == len(sets) - len(set(families(links)))
+
+
+def test_shuffles_and_rows_for_now_leave_the_disk(spark):
+    import os
+    import time
+    from urllib.parse import urlparse
+
+    from riskloom.llm import store
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, setting = files.getAllFiles().size(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(setting, "false")
+    with store.written_for_now(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count()) as rows:
+        assert len(rows.collect()) == 5000
+        folder = os.path.dirname(urlparse(rows.inputFiles()[0]).path)
+    assert not os.path.exists(folder) and spark.conf.get(setting, "false") == kept
+    until = time.time() + 20
+    while files.getAllFiles().size() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files.getAllFiles().size() <= before

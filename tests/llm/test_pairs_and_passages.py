@@ -1,6 +1,7 @@
 """Near copies, contamination, repeated passages and recurring lines."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -137,6 +138,15 @@ def test_contamination_of_repeated_ids_and_empty_tables(spark):
     assert len(nothing) == 5 and not any(r.n_hit for r in nothing)
 
 
+def test_words_of_every_kind_of_character(spark):
+    odd = [*map(chr, range(1, 128)), "\x80", "é", "İ", "Σ", "\u2028", "\u3000", "\ufffd", "中", "\U0001f600", "\U0010ffff"]
+    rows = [(i, f"a{c}b {c} {c}{c}Z9") for i, c in enumerate(odd)] + [(-1, None), (-2, ""), (-3, "..."), (-4, "".join(odd))]
+    taken = table(spark, rows).select("doc_id", decontamination.raw_words(F.col("text")).alias("words"))
+    # A negated class of several ranges is many times dearer in Java.
+    assert "[^" not in taken._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: r.words for r in taken.collect()} == {i: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "") for i, t in rows}
+
+
 def test_proximity(spark):
     rows = [(1, "x alpha y beta z gamma"), (2, "gamma beta alpha"), (3, "alpha " + "q " * 50 + "beta gamma"), (4, "alpha beta"), (5, "solo")]
     index = decontamination.build_index(table(spark, rows))

@@ -147,6 +147,22 @@ def test_words_of_every_kind_of_character(spark):
     assert {r.doc_id: r.words for r in taken.collect()} == {i: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "") for i, t in rows}
 
 
+def test_an_index_takes_the_digest_and_the_words_of_a_text_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(
+        decontamination.store, "written", lambda df, **options: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df
+    )
+    rows = [(1, "Short  item"), (1, "Short  item"), (2, None), (None, "x"), (3, "")]
+    index = decontamination.build_index(table(spark, rows))
+    sizes = index.postings.groupBy("doc").agg(F.max("pos").alias("last"), F.count("*").alias("n"))
+    assert sorted((r["last"], r["n"]) for r in sizes.collect()) == [(0, 1), (1, 4)]
+    (plan,) = plans
+    each_word, each_text = plan.split("Generate", 1)
+    # What stands above the explode runs for every word.
+    assert "text#" not in each_word and "xxhash64(cast(doc_id" in each_text
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_proximity(spark):
     rows = [(1, "x alpha y beta z gamma"), (2, "gamma beta alpha"), (3, "alpha " + "q " * 50 + "beta gamma"), (4, "alpha beta"), (5, "solo")]
     index = decontamination.build_index(table(spark, rows))
